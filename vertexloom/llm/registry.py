@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import urls
+from . import quality, urls
 
-_MODULES = (urls,)
+_MODULES = (quality, urls)
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
