@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality, urls
+from . import decontaminate, quality, urls
 
-_MODULES = (quality, urls)
+_MODULES = (quality, urls, decontaminate)
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
