@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, urls
+from . import decontaminate, licenses, packing, quality, urls
 
-_MODULES = (packing, quality, urls, decontaminate)
+_MODULES = (packing, quality, urls, decontaminate, licenses)
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
