@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, packing, quality, urls
+from . import decontaminate, langid, licenses, packing, quality, toxicity, urls
 
-_MODULES = (packing, quality, urls, langid, decontaminate, licenses)
+_MODULES = (packing, quality, urls, langid, decontaminate, toxicity, licenses)
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
