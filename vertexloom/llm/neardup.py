@@ -80,6 +80,40 @@ def _labelled(members: DataFrame, labels: DataFrame, column: str, name: str) ->
     return members.join(known, column, "left").withColumn(name, F.coalesce(f"_{name}", column)).drop(f"_{name}")
 
 
+def confirmed_links(members: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Enough confirmed links (a, b) among ``members`` to make all their components.
+
+    ``members`` (bucket, id, lead) are saved rows, ``texts`` (id, text) whole texts, ``sizes``
+    (id, n, least) the largest and least set size of an id.
+    """
+
+    def confirmed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = scratch.save(pairs)
+        return scratch.save(similar(pairs, texts, k, percent)), pairs
+
+    # the least of a member's leaders first: most members of a group need no other comparison
+    follow = members.where("id <> lead")
+    links, tested = confirmed(follow.groupBy(F.col("id").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"))
+    labels = connected_components(links, scratch)
+
+    # then every leader whose component is still another
+    led = _labelled(_labelled(follow, labels, "id", "of_id"), labels, "lead", "of_lead")
+    more = led.where("of_id <> of_lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    found, tested_too = confirmed(more)
+    tested, links = tested.unionAll(tested_too), links.unionAll(found)
+    labels = connected_components(links, scratch)
+
+    # then all other pairs of a bucket across components
+    of = _labelled(follow, labels, "id", "label")
+    mixed = of.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    of = scratch.save(of.join(mixed, "bucket").join(sizes, "id").select("bucket", "id", "label", "n", "least"))
+    x, y = of.alias("x"), of.alias("y")
+    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
+                    & (F.col("x.n") * 100 >= F.col("y.least") * percent) & (F.col("y.n") * 100 >= F.col("x.least") * percent))
+    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    return links.unionAll(confirmed(across)[0])
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -100,38 +134,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     banded = known.where("bands IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead")
-    members = scratch.save(banded.join(buckets, "bucket").distinct())
-    texts = rows.where("id IS NOT NULL")
-
-    def confirmed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = scratch.save(pairs)
-        return scratch.save(similar(pairs, texts, k, percent)), pairs
-
-    # the least of a member's leaders first: most members of a group need no other comparison
-    links, tested = confirmed(members.where("id <> lead").groupBy(F.col("id").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"))
-    labels = scratch.save(connected_components(links, scratch))
-
-    # then every leader whose component is still another
-    led = _labelled(_labelled(members.where("id <> lead"), labels, "id", "of_id"), labels, "lead", "of_lead")
-    more = led.where("of_id <> of_lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    found, tested_too = confirmed(more)
-    tested = tested.unionAll(tested_too)
-    links = links.unionAll(found)
-    labels = scratch.save(connected_components(links, scratch))
-
-    # then all other pairs of a bucket across components
+    members = scratch.save(banded.join(buckets, "bucket").select("bucket", "id", "lead").distinct())
     sizes = known.where("bands IS NOT NULL").groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("least"))
-    of = _labelled(members.where("id <> lead"), labels, "id", "label")
-    mixed = of.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-    of = scratch.save(of.join(mixed, "bucket").join(sizes, "id").select("bucket", "id", "label", "n", "least"))
-    x, y = of.alias("x"), of.alias("y")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
-                    & (F.col("x.n") * 100 >= F.col("y.least") * percent) & (F.col("y.n") * 100 >= F.col("x.least") * percent))
-    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    found, _ = confirmed(across)
+    links = confirmed_links(members, rows.where("id IS NOT NULL"), sizes, k, percent, scratch)
     # rows of one id with different texts are one document
     same = known.where("class IS NOT NULL AND id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"))
-    labels = scratch.save(connected_components(links.unionAll(found).unionAll(same.join(_repeated(known), F.col("b") == F.col("repeated"), "left_semi")), scratch))
+    same = same.join(_repeated(known), F.col("b") == F.col("repeated"), "left_semi")
+    labels = connected_components(links.unionAll(same), scratch)
     out = _labelled(known.select("id", "n", F.coalesce("class", "id").alias("class")), labels, "class", "component_id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
 

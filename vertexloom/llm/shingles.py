@@ -136,7 +136,89 @@ class MinMax:
         return key.view(np.int64)
 
 
+    def many(self, s: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Band keys of many sets, one row each: set i is ``s`` from ``start[i]`` to the next."""
+        if not len(start):
+            return np.zeros((0, self.bands), dtype=np.int64)
+        x, values = (s >> np.uint64(32)).astype(np.uint32), []
+        for a, b in zip(self.a, self.b, strict=True):
+            v = a * x + b
+            values += [np.minimum.reduceat(v, start), np.maximum.reduceat(v, start)]
+        key = []
+        for i in range(self.bands):
+            h = np.full(len(start), i, dtype=np.uint64)
+            for j in range(self.rows):
+                h = mix(h ^ (values[i * self.rows + j].astype(np.uint64) + np.uint64((j + 1) * int(_P) % (1 << 64))))
+            key.append(h.view(np.int64))
+        return np.stack(key, axis=1)
+
+
 def same_share(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sizes of the intersection and the union of two sorted sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both, len(a) + len(b) - both
+
+
+class Paragraphs:
+    """The lines of many texts as arrays, a row for each line that has a word.
+
+    ``text`` and ``pos`` say which line of which text, ``order`` counts the lines with words,
+    ``words`` their words, ``n`` their distinct shingles; ``k1`` and ``k2`` name the set, and
+    ``bands`` has a row of band keys for each line.
+    """
+
+    def __init__(self, texts: list[str | None], k: int, hashing: MinMax):
+        counts, line_of, hashes, owner, place = [], [], [], [], []
+        base = 0
+        for i, words in enumerate(_lines([encoded(t) for t in texts])):
+            h, line = words
+            if len(h):
+                new = np.flatnonzero(np.diff(line, prepend=-1))
+                owner.append(np.full(len(new), i))
+                place.append(line[new])
+                counts.append(np.diff(np.append(new, len(h))))
+                line_of.append(np.repeat(np.arange(base, base + len(new)), counts[-1]))
+                hashes.append(h)
+                base += len(new)
+        empty = np.zeros(0, dtype=np.int64)
+        join = lambda x: np.concatenate(x) if x else empty
+        self.text, self.pos, self.words = join(owner), join(place), join(counts)
+        self.order = np.arange(base) - np.searchsorted(self.text, self.text)
+        h, line = join(hashes).astype(np.uint64), join(line_of)
+        s, of = self._shingles(h, line, k)
+        by = np.lexsort((s, of))
+        s, of = s[by], of[by]
+        distinct = np.ones(len(s), dtype=bool)
+        distinct[1:] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
+        s, of = s[distinct], of[distinct]
+        start = np.flatnonzero(np.diff(of, prepend=-1))
+        self.n = np.diff(np.append(start, len(s)))
+        sums = lambda x: np.add.reduceat(x, start).view(np.int64) if len(start) else empty
+        self.k1, self.k2 = sums(mix(s)), sums(mix(s ^ _M1))
+        self.bands = hashing.many(s, start)
+
+    def _shingles(self, h: np.ndarray, line: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        size = np.minimum(self.words, k)[line] if len(line) else line
+        out, of = [], []
+        for m in range(1, k + 1):
+            n = max(0, len(h) - m + 1)
+            ok = (size[:n] == m) & (line[:n] == line[m - 1 : m - 1 + n])
+            at = np.flatnonzero(ok)
+            s = h[at]
+            for j in range(1, m):
+                s = mix(s + h[at + j] * _P)
+            out.append(mix(s ^ np.uint64(m)))
+            of.append(line[at])
+        return np.concatenate(out), np.concatenate(of)
+
+
+def _lines(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text, its words' hashes and the line that each word stands in."""
+    for t, h in zip(texts, word_hashes(texts), strict=True):
+        if not len(h):
+            yield h, np.zeros(0, dtype=np.int64)
+            continue
+        b = np.frombuffer(t, dtype=np.uint8)
+        word = ~((b == 32) | ((b >= 9) & (b <= 13)))
+        starts = np.flatnonzero(word & ~np.concatenate(([False], word[:-1])))
+        yield h, np.searchsorted(np.flatnonzero(b == 10), starts)
