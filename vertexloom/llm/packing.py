@@ -17,7 +17,6 @@ import heapq
 import os
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -38,13 +37,13 @@ WINDOW = 2048
 SEPARATOR = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Remainders that are packed together.
-BLOCK = 1024
+BLOCK = 512
 #: The mean of a round's windows over their capacity, so that few stay below it.
 SURPLUS = 1.03
 #: Bits of a sequence id for its number within a split.
 SPLIT_BITS = 33
 #: Chunks between white space, and words, whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 600_000
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -55,6 +54,13 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 _CHUNKS = re.compile(r"[ \t\n\r]+").split
 
 
+def _forget(known: dict[str, bytes], fresh: dict[str, bytes]) -> None:
+    """Drop what came last once there is too much: what came first is mostly what is frequent."""
+    if len(known) > CACHE:
+        for c in fresh:
+            del known[c]
+
+
 class ChunkTokenizer:
     """The ids of a text, from those of its chunks between ASCII white space.
 
@@ -84,11 +90,9 @@ class ChunkTokenizer:
         split = {c: _WORDS(c.lower()) for c in new if _PLAIN(c) and "<|" not in c}
         known = self.word_ids
         fresh = self._of_words([w for w in {w for ws in split.values() for w in ws} if w not in known])
-        if len(known) < CACHE:
-            known.update(fresh)
-        else:
-            known = ChainMap(fresh, known)
+        known.update(fresh)
         out = {c: b"".join([known[w] for w in ws]) for c, ws in split.items()}
+        _forget(known, fresh)
         odd = [c for c in new if c not in out]
         for c, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             out[c] = np.array(e.ids, dtype="<u4").tobytes()
@@ -97,12 +101,11 @@ class ChunkTokenizer:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         known = self.chunk_ids
         chunks = [_CHUNKS(t) for t in texts]
-        fresh = self._of_chunks(list({c for cs in chunks for c in cs if c not in known}))
-        if len(known) < CACHE:
-            known.update(fresh)
-        else:
-            known = ChainMap(fresh, known)
-        return [np.frombuffer(b"".join([known[c] for c in cs]), dtype="<u4") for cs in chunks]
+        fresh = self._of_chunks([c for c in set().union(*chunks) if c not in known])
+        known.update(fresh)
+        out = [np.frombuffer(b"".join([known[c] for c in cs]), dtype="<u4") for cs in chunks]
+        _forget(known, fresh)
+        return out
 
 
 @cache
