@@ -3,7 +3,7 @@
 ``(and (> vertex.age 30) (= (get edge "role") "Lucius Fox"))``
 
 Forms: ``= != < <= > >= and or not + - * / if nil? in get``, ``vertex.f``, ``edge.f``, numbers,
-strings, ``true``, ``false``, ``nil``. Only a boolean TRUE passes. This subset is the engine's
+strings, ``true``, ``false``, ``nil``. Only a boolean TRUE passes: a comparison with nil is nil. This subset is the engine's
 own. Undeclared fields take the type of what they are compared with.
 """
 
@@ -108,7 +108,7 @@ def compile_filter(expr, bound: dict[str, Cell]) -> Column:
     if isinstance(expr, str) and len(forms) != 1:
         raise FilterError("a filter is one expression")
     form = forms[0] if isinstance(expr, str) else forms
-    return F.coalesce(_column(_compile(form, bound)), F.lit(False))
+    return _column(_compile(form, bound))
 
 
 def _column(value, like=None) -> Column:
