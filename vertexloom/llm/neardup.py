@@ -3,9 +3,9 @@
 Documents with equal shingle sets form a class; a class's least id stands for it. Band keys of
 the classes' signatures gather classes in buckets. A bucket's members are first compared with
 its leader, its least member, which joins a group of any size by a number of comparisons that
-grows with the group, not with its square. Components that the confirmed links make are then
-compared across: only pairs in a common bucket that are still in different components and
-whose set sizes allow a link are left, so no link between components is missed.
+grows with the group, not with its square. Members of one leader that are still in different
+components are then compared in blocks: those outside the leader's largest component are
+queries against all of its members, so no link between components is missed.
 
 Every comparison is of whole shingle sets. The texts of a leader with many followers go to as
 many salted copies as it needs, so no task holds a leader's whole group.
@@ -26,8 +26,12 @@ from .tables import Scratch, read
 
 #: Of a similarity of 0.8, less than one pair in a million shares no band.
 BANDS, ROWS = 36, 5
+#: So many ids of candidates are broadcast to pick their texts; more are shuffled.
+BROADCAST_IDS = 400_000
 #: Followers of a leader that share a copy of its text.
 PER_COPY = 64
+#: In comparisons across components: queries that meet a part of a leader's members, and members of a part.
+QUERIES_PER_BLOCK, MEMBERS_PER_PART = 64, 256
 
 
 def signatures(rows: DataFrame, k: int) -> DataFrame:
@@ -80,11 +84,10 @@ def _labelled(members: DataFrame, labels: DataFrame, column: str, name: str) ->
     return members.join(known, column, "left").withColumn(name, F.coalesce(f"_{name}", column)).drop(f"_{name}")
 
 
-def confirmed_links(members: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+def confirmed_links(members: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Enough confirmed links (a, b) among ``members`` to make all their components.
 
-    ``members`` (bucket, id, lead) are saved rows, ``texts`` (id, text) whole texts, ``sizes``
-    (id, n, least) the largest and least set size of an id.
+    ``members`` (bucket, id, lead) are saved rows, ``texts`` (id, text) whole texts.
     """
 
     def confirmed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,19 +102,52 @@ def confirmed_links(members: DataFrame, texts: DataFrame, sizes: DataFrame, k: i
     # then every leader whose component is still another
     led = _labelled(_labelled(follow, labels, "id", "of_id"), labels, "lead", "of_lead")
     more = led.where("of_id <> of_lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    found, tested_too = confirmed(more)
-    tested, links = tested.unionAll(tested_too), links.unionAll(found)
+    links = links.unionAll(confirmed(more)[0])
     labels = connected_components(links, scratch)
 
-    # then all other pairs of a bucket across components
-    of = _labelled(follow, labels, "id", "label")
-    mixed = of.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-    of = scratch.save(of.join(mixed, "bucket").join(sizes, "id").select("bucket", "id", "label", "n", "least"))
-    x, y = of.alias("x"), of.alias("y")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
-                    & (F.col("x.n") * 100 >= F.col("y.least") * percent) & (F.col("y.n") * 100 >= F.col("x.least") * percent))
-    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    return links.unionAll(confirmed(across)[0])
+    # then all other members of one leader, in blocks
+    return links.unionAll(scratch.save(across(_labelled(follow, labels, "id", "label").select("lead", "id", "label").distinct(), texts, k, percent)))
+
+
+def across(led: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one leader that are still in different components.
+
+    ``led`` has (lead, id, label). Of a leader's members those outside its largest component
+    are the queries; blocks of them meet parts of all its members, so that a row stands for a
+    member and a block and never for a pair. A query's links into one component of a part
+    shrink to one, as components are all that is asked for.
+    """
+    kind = dict(texts.dtypes)["id"]
+    by_label = led.groupBy("lead", "label").agg(F.count("*").alias("n"))
+    groups = by_label.groupBy("lead").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    groups = groups.select("lead", "main", F.ceil(F.col("others") / QUERIES_PER_BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / MEMBERS_PER_PART).cast("int").alias("parts"))
+    mixed = led.join(groups, "lead").join(texts, "id")
+    spread = lambda of, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    queries = mixed.where("label <> main").select("lead", "id", "label", "text", "parts", spread("blocks", "block").alias("block")).select("lead", "id", "label", "text", "block", each("parts").alias("part"))
+    members = mixed.select(*[F.col(c).alias(c) for c in ("lead", "id", "label", "text", "blocks")], spread("parts", "part").alias("part")).select("lead", "id", "label", "text", "part", each("blocks").alias("block"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {}
+        if len(left) and len(right):
+            asked = list(shingle_sets(left["text"].tolist(), k))
+            owner = np.repeat(np.arange(len(asked)), [len(s) for s in asked])
+            tokens = np.concatenate(asked)
+            by = np.argsort(tokens, kind="stable")
+            tokens, owner, sizes = tokens[by], owner[by], np.array([len(s) for s in asked])
+            ids, labels = left["id"].tolist(), left["label"].tolist()
+            for member, label, s in zip(right["id"].tolist(), right["label"].tolist(), shingle_sets(right["text"].tolist(), k), strict=True):
+                low, high = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
+                n = high - low
+                at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else low
+                shared = np.bincount(owner[at], minlength=len(asked))
+                for q in np.flatnonzero((shared > 0) & (100 * shared >= percent * (sizes + len(s) - shared))).tolist():
+                    if labels[q] != label:
+                        out.setdefault((q, label), (ids[q], member))
+        return pd.DataFrame(list(out.values()), columns=["a", "b"])
+
+    keys = ["lead", "block", "part"]
+    return queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,8 +171,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     banded = known.where("bands IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead")
     members = scratch.save(banded.join(buckets, "bucket").select("bucket", "id", "lead").distinct())
-    sizes = known.where("bands IS NOT NULL").groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("least"))
-    links = confirmed_links(members, rows.where("id IS NOT NULL"), sizes, k, percent, scratch)
+    # only members' texts travel from here on; a leader is a member of its own bucket
+    wanted = scratch.save(members.select(F.col("id").alias("wanted")).distinct())
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = scratch.save(rows.join(few, F.col("id") == F.col("wanted"), "left_semi"))
+    links = confirmed_links(members, texts, k, percent, scratch)
     # rows of one id with different texts are one document
     same = known.where("class IS NOT NULL AND id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"))
     same = same.join(_repeated(known), F.col("b") == F.col("repeated"), "left_semi")

@@ -59,16 +59,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = scratch.save(paragraphs(rows))
 
     # near copies: k1 stands for a set here; a clash of k1 only adds pairs to compare
-    banded = lines.where("bands IS NOT NULL").select(F.col("k1").alias("id"), "n", F.explode("bands").alias("bucket"))
+    banded = lines.where("bands IS NOT NULL").select(F.col("k1").alias("id"), F.explode("bands").alias("bucket"))
     buckets = scratch.save(banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead"))
-    members = scratch.save(banded.join(_small(buckets), "bucket").select("bucket", "id", "lead", "n").distinct())
-    sizes = members.groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("least"))
+    members = scratch.save(banded.join(_small(buckets), "bucket").select("bucket", "id", "lead").distinct())
     wanted = members.select(F.col("id").alias("k1")).distinct()
     shown = lines.join(wanted, "k1", "left_semi").groupBy("k1", "k2").agg(F.min(F.struct("id", "pos")).alias("at"))
     shown = scratch.save(shown.groupBy(F.col("at.id").alias("of")).agg(F.collect_list(F.struct("k1", F.col("at.pos").alias("pos"))).alias("shown")))
     texts = rows.join(_small(shown), F.col("id") == F.col("of")).select(F.split("text", "\n").alias("lines"), F.explode("shown").alias("s"))
     texts = scratch.save(texts.select(F.col("s.k1").alias("id"), F.get("lines", F.col("s.pos")).alias("text")).distinct())
-    links = confirmed_links(members.drop("n"), texts, sizes, SHINGLE, PERCENT, scratch)
+    links = confirmed_links(members, texts, SHINGLE, PERCENT, scratch)
     labels = connected_components(links, scratch)
 
     # a component of near copies, or else a set of its own, named in full
@@ -109,10 +108,10 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = repeated_passages(docs, id_col, text_col, least_words).select(F.col("id").alias("_gone_id"), F.col("removed").alias("_gone"))
     docs = docs.drop("removed")
     both = docs.join(_small(gone), docs[id_col] == gone["_gone_id"], "left")
-    left = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(F.col("_gone.pos"), i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    left = F.filter(F.split(docs[text_col], "\n"), lambda _, i: ~F.array_contains(gone["_gone"]["pos"], i))
+    text = F.when(gone["_gone"].isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
     none = F.array().cast(dict(gone.dtypes)["_gone"])
-    return both.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce("_gone", none).alias("removed"))
+    return both.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(gone["_gone"], none).alias("removed"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
