@@ -106,16 +106,17 @@ def confirmed_links(members: DataFrame, texts: DataFrame, k: int, percent: int,
     labels = connected_components(links, scratch)
 
     # then all other members of one leader, in blocks
-    return links.unionAll(scratch.save(across(_labelled(follow, labels, "id", "label").select("lead", "id", "label").distinct(), texts, k, percent)))
+    known = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return known.unionAll(scratch.save(across(_labelled(follow, labels, "id", "label").select("lead", "id", "label").distinct(), texts, k, percent).distinct()))
 
 
 def across(led: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between members of one leader that are still in different components.
+    """Links (a, b) between the components of one leader's members, given by their labels.
 
     ``led`` has (lead, id, label). Of a leader's members those outside its largest component
     are the queries; blocks of them meet parts of all its members, so that a row stands for a
-    member and a block and never for a pair. A query's links into one component of a part
-    shrink to one, as components are all that is asked for.
+    member and a block and never for a pair. Of the links that a block and a part confirm, those
+    that join what others joined already are left out, as components are all that is asked for.
     """
     kind = dict(texts.dtypes)["id"]
     by_label = led.groupBy("lead", "label").agg(F.count("*").alias("n"))
@@ -128,23 +129,31 @@ def across(led: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     members = mixed.select(*[F.col(c).alias(c) for c in ("lead", "id", "label", "text", "blocks")], spread("parts", "part").alias("part")).select("lead", "id", "label", "text", "part", each("blocks").alias("block"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {}
+        out, root = [], {}
+
+        def top(x):
+            while x in root:
+                x = root[x]
+            return x
+
         if len(left) and len(right):
             asked = list(shingle_sets(left["text"].tolist(), k))
             owner = np.repeat(np.arange(len(asked)), [len(s) for s in asked])
             tokens = np.concatenate(asked)
             by = np.argsort(tokens, kind="stable")
             tokens, owner, sizes = tokens[by], owner[by], np.array([len(s) for s in asked])
-            ids, labels = left["id"].tolist(), left["label"].tolist()
-            for member, label, s in zip(right["id"].tolist(), right["label"].tolist(), shingle_sets(right["text"].tolist(), k), strict=True):
+            labels = left["label"].tolist()
+            for label, s in zip(right["label"].tolist(), shingle_sets(right["text"].tolist(), k), strict=True):
                 low, high = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
                 n = high - low
                 at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else low
                 shared = np.bincount(owner[at], minlength=len(asked))
                 for q in np.flatnonzero((shared > 0) & (100 * shared >= percent * (sizes + len(s) - shared))).tolist():
-                    if labels[q] != label:
-                        out.setdefault((q, label), (ids[q], member))
-        return pd.DataFrame(list(out.values()), columns=["a", "b"])
+                    one, other = top(labels[q]), top(label)
+                    if one != other:
+                        root[max(one, other)] = min(one, other)
+                        out.append((labels[q], label))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     keys = ["lead", "block", "part"]
     return queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(compare, f"a {kind}, b {kind}")

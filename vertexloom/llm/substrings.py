@@ -62,8 +62,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     banded = lines.where("bands IS NOT NULL").select(F.col("k1").alias("id"), F.explode("bands").alias("bucket"))
     buckets = scratch.save(banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead"))
     members = scratch.save(banded.join(_small(buckets), "bucket").select("bucket", "id", "lead").distinct())
-    wanted = members.select(F.col("id").alias("k1")).distinct()
-    shown = lines.join(wanted, "k1", "left_semi").groupBy("k1", "k2").agg(F.min(F.struct("id", "pos")).alias("at"))
+    wanted = scratch.save(members.select(F.col("id").alias("k1")).distinct())
+    few = wanted.count() <= BROADCAST_ROWS
+    # a shuffled join comes after the sets are made distinct, so that no frequent line meets in a task
+    shown = (lines.join(F.broadcast(wanted), "k1", "left_semi") if few else lines).groupBy("k1", "k2").agg(F.min(F.struct("id", "pos")).alias("at"))
+    shown = shown if few else shown.join(wanted, "k1", "left_semi")
     shown = scratch.save(shown.groupBy(F.col("at.id").alias("of")).agg(F.collect_list(F.struct("k1", F.col("at.pos").alias("pos"))).alias("shown")))
     texts = rows.join(_small(shown), F.col("id") == F.col("of")).select(F.split("text", "\n").alias("lines"), F.explode("shown").alias("s"))
     texts = scratch.save(texts.select(F.col("s.k1").alias("id"), F.get("lines", F.col("s.pos")).alias("text")).distinct())
