@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .tables import read
+from .tables import give_back, read
 
 WINDOW = 2048
 SEPARATOR = 1
@@ -52,6 +52,16 @@ SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 _PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00ff]*").fullmatch
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 _CHUNKS = re.compile(r"[ \t\n\r]+").split
+#: What ``str.split`` parts words at besides the four characters of ``_CHUNKS``.
+_OTHER_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def chunks_of(text: str) -> list[str]:
+    """A text's chunks between ASCII white space."""
+    for c in _OTHER_SPACE:
+        if c in text:
+            return _CHUNKS(text)
+    return text.split()
 
 
 def _forget(known: dict[str, bytes], fresh: dict[str, bytes]) -> None:
@@ -87,7 +97,7 @@ class ChunkTokenizer:
         return {w: ids[a:b].tobytes() for w, a, b in zip(new, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
 
     def _of_chunks(self, new: list[str]) -> dict[str, bytes]:
-        split = {c: _WORDS(c.lower()) for c in new if _PLAIN(c) and "<|" not in c}
+        split = {c: [c.lower()] if c.isalpha() else _WORDS(c.lower()) for c in new if _PLAIN(c) and "<|" not in c}
         known = self.word_ids
         fresh = self._of_words([w for w in {w for ws in split.values() for w in ws} if w not in known])
         known.update(fresh)
@@ -100,10 +110,10 @@ class ChunkTokenizer:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         known = self.chunk_ids
-        chunks = [_CHUNKS(t) for t in texts]
-        fresh = self._of_chunks([c for c in set().union(*chunks) if c not in known])
+        chunks = [chunks_of(t) for t in texts]
+        fresh = self._of_chunks(list(set().union(*chunks).difference(known)))
         known.update(fresh)
-        out = [np.frombuffer(b"".join([known[c] for c in cs]), dtype="<u4") for cs in chunks]
+        out = [np.frombuffer(b"".join(map(known.__getitem__, cs)), dtype="<u4") for cs in chunks]
         _forget(known, fresh)
         return out
 
@@ -266,6 +276,7 @@ def _packer(path: str, window: int, block: int):
                 yield pd.DataFrame(out, columns=columns)
         if left:
             yield pd.DataFrame(rows(close(left, window)), columns=columns)
+        give_back()
 
     return run
 
