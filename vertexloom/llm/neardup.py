@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shingles import MinMax, same_share, set_key, shingle_sets
-from .tables import Scratch, read
+from .tables import Scratch, give_back, read
 
 #: Of a similarity of 0.8, less than one pair in a million shares no band.
 BANDS, ROWS = 36, 5
@@ -46,6 +46,7 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
                 keys.append(set_key(s) if len(s) else None)
                 bands.append(hashing.band_keys(s) if len(s) else None)
             yield pd.DataFrame({"id": pdf["id"], "n": n, "key": keys, "bands": bands})
+        give_back()
 
     return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, n long, key binary, bands array<long>")
 
@@ -75,6 +76,7 @@ def similar(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFram
                 shared, union = same_share(mine, other)
                 keep[i] = union > 0 and 100 * shared >= percent * union
             yield pdf.loc[keep, ["a", "b"]]
+        give_back()
 
     return both.mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
@@ -172,9 +174,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = scratch.save(signatures(rows, k))
     some = signed.where("key IS NOT NULL AND id IS NOT NULL")
-    classes = some.groupBy("key").agg(F.min("id").alias("class"))
-    known = scratch.save(signed.join(classes, "key", "left").select(
-        "id", "n", F.when(F.col("id").isNotNull(), F.col("class")).alias("class"), F.when(F.col("id") == F.col("class"), F.col("bands")).alias("bands")))
+    classes = scratch.save(some.groupBy("key").agg(F.min("id").alias("class"), F.count("*").alias("rows")).where("rows > 1").select("key", "class"))
+    of = F.when(F.col("id").isNotNull() & F.col("key").isNotNull(), F.coalesce("class", "id"))
+    known = scratch.save(signed.join(classes, "key", "left").select("id", "n", of.alias("class"), F.when(F.col("id") == of, F.col("bands")).alias("bands")))
     scratch.drop(signed)
 
     banded = known.where("bands IS NOT NULL").select("id", F.explode("bands").alias("bucket"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .neardup import confirmed_links
 from .shingles import MinMax, Paragraphs
-from .tables import Scratch, read
+from .tables import Scratch, give_back, read
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 10, 2
@@ -43,6 +43,7 @@ def paragraphs(rows: DataFrame) -> DataFrame:
                 p = Paragraphs(part["text"].tolist(), SHINGLE, hashing)
                 banded = [list(b) if n >= LEAST_SET else None for b, n in zip(p.bands, p.n.tolist(), strict=True)]
                 yield pd.DataFrame({"id": part["id"].to_numpy()[p.text], "pos": p.pos, "ord": p.order, "words": p.words, "n": p.n, "k1": p.k1, "k2": p.k2, "bands": banded})
+        give_back()
 
     return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, pos int, ord int, words int, n int, k1 long, k2 long, bands array<long>")
 
