@@ -160,6 +160,47 @@ def test_passages_against_brute_force(spark):
     assert set(done.columns) == set(docs.columns) and substrings.dedup_passages(documents(spark, [])).count() == 0
 
 
+def brute_spans(texts, gone, least):
+    """By document, the places of the words that an earlier equal window covers."""
+    first, covered = {}, defaultdict(set)
+    for d in sorted(texts):
+        lines = (texts[d] or "").split("\n")
+        w, live = words(texts[d]), [pos not in gone.get(d, ()) for pos, line in enumerate(lines) for _ in words(line)]
+        for at in range(len(w) - least + 1):
+            if any(live[at : at + least]):
+                of = first.setdefault(tuple(w[at : at + least]), (d, at))
+                if of[0] != d or at >= of[1] + least:
+                    covered[d].update(range(at, at + least))
+    return covered
+
+
+def test_spans_inside_lines(spark):
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    passage, ends = prose(60), prose(120).split(" ")
+    own = [prose(120) for _ in range(4)]
+    extra = [f"{own[0]} {passage} {own[1]}", f"{own[2]}  {passage.upper()} {own[3]}", f"a b {' '.join(ends)} c", f"é {' '.join(ends[:50])}\n{' '.join(ends[50:])}\td \n\nend", None, "", "spam " * 200]
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    texts |= dict(zip(range(10_000, 10_007), extra, strict=True))
+    docs = documents(spark, list(texts.values()), list(texts))
+    gone = {r["doc_id"]: {x["pos"] for x in r["removed"]} for r in substrings.dedup_passages(docs).collect()}
+    got = {r["doc_id"]: r for r in substrings.dedup_repeats(docs).collect()}
+    covered = brute_spans(texts, gone, substrings.LEAST_WORDS)
+    for d, text in texts.items():
+        place, left = 0, []
+        for pos, line in enumerate((text or "").split("\n")):
+            for w in words(line):
+                if pos not in gone[d] and place not in covered[d]:
+                    left.append(w)
+                place += 1
+        assert words(got[d]["text"]) == left, d
+        assert sum(x["words"] for x in got[d]["removed"]) == place - len(left)
+    assert got[10_001]["text"] == f"{own[2]}  {own[3]}" and got[10_001]["removed"][0]["first_id"] == 10_000
+    assert got[10_000]["text"] == extra[0] and got[10_003]["text"] == "é\nd \n\nend" and got[10_004]["text"] is None
+    assert words(got[10_006]["text"]) == ["spam"] * 40
+    assert substrings.dedup_repeats(documents(spark, [])).count() == 0 and set(substrings.dedup_repeats(docs).columns) == set(docs.columns)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(5)
     prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4000, n))

@@ -6,6 +6,9 @@ of a similarity of 0.8, four in 100,000 pairs meet nowhere) and are linked when
 Jaccard similarity is at least 0.8. Of each component the first paragraph, by document and
 place, stays. Short lines alone are no passage: what goes are runs of repeated paragraphs, one
 after the other in a document, of at least ``LEAST_WORDS`` words together.
+
+``dedup_passages`` removes such lines; ``dedup_repeats`` also cuts spans of as many words that
+repeat inside of lines, or begin and end within them (``spans``).
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .neardup import confirmed_links
 from .shingles import MinMax, Paragraphs
+from .spans import repeated_spans
 from .tables import Scratch, give_back, read
 
 SHINGLE, PERCENT = 5, 80
@@ -118,8 +122,35 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return both.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(gone["_gone"], none).alias("removed"))
 
 
+def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """As ``dedup_passages``, and repeated spans that aren't whole lines go too.
+
+    ``removed`` then has an entry for each line of such a span as well, with the words that the
+    line loses; a line that loses all goes whole.
+    """
+    scratch = Scratch(docs.sparkSession)
+    gone = repeated_passages(docs, id_col, text_col, least_words).select(F.col("id").alias("_gone_id"), F.col("removed").alias("_gone"))
+    docs, gone = docs.drop("removed"), _small(gone)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    rows = rows.join(gone, F.col("id") == F.col("_gone_id"), "left").select("id", "text", F.col("_gone.pos").alias("gone"))
+    cuts = _small(repeated_spans(rows, least_words, scratch).select(*[F.col(c).alias(f"_cut_{c}") for c in ("id", "name", "removed", "whole", "parts")]))
+    both = docs.join(gone, docs[id_col] == gone["_gone_id"], "left")
+    both = both.join(cuts, (docs[id_col] == cuts["_cut_id"]) & (F.xxhash64(docs[text_col]) == cuts["_cut_name"]), "left")
+    removed = F.concat(*[F.coalesce(c, F.array().cast(dict(gone.dtypes)["_gone"])) for c in (gone["_gone"], cuts["_cut_removed"])])
+    dropped = F.concat(*[F.coalesce(c, F.array().cast("array<int>")) for c in (gone["_gone"]["pos"], cuts["_cut_whole"])])
+    parts = cuts["_cut_parts"]
+
+    def line(text, i):
+        mine = F.array_join(F.transform(F.filter(parts, lambda p: p["pos"] == i), lambda p: text.substr(p["start"] + 1, p["length"])), "")
+        return F.when(F.array_contains(dropped, i), F.lit(None)).when(F.array_contains(parts["pos"], i), mine).otherwise(text)
+
+    left = F.array_join(F.filter(F.transform(F.split(docs[text_col], "\n"), line), lambda x: x.isNotNull()), "\n")
+    text = F.when(gone["_gone"].isNull() & cuts["_cut_id"].isNull(), docs[text_col]).otherwise(left)
+    return both.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], removed.alias("removed"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup_passages(read(spark, sf_dir, "documents"))
+    done = dedup_repeats(read(spark, sf_dir, "documents"))
     words = F.aggregate("removed", F.lit(0), lambda n, r: n + r["words"]).cast("long")
     return done.select("doc_id", F.size("removed").cast("long").alias("n_removed"), words.alias("removed_words"),
                        F.array_sort(F.array_distinct("removed.first_id")).alias("first_ids"), F.col("removed.pos").alias("removed_lines"), "text")
