@@ -45,6 +45,13 @@ def test_style_tree_removes_what_repeats(spark):
     assert len(got) == len(rows) and html.extract(pages.limit(0)).count() == 0
 
 
+def test_repeated_text_beside_unique_children(spark):
+    mixed = [(i, "http://a.net/", f"<div class=story>Share this<p>unique article {i} x{i * i}</p></div>", "x") for i in range(30)]
+    direct = [(100 + i, "http://b.net/", f"<body><a href=#main>Skip to content</a><div class=story>unique text {i} y{i * i}</div></body>", "x") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(mixed + direct, "page_id long, url string, html string, host string")).collect()}
+    assert got == {i: f"unique article {i} x{i * i}" for i in range(30)} | {100 + i: f"unique text {i} y{i * i}" for i in range(30)}
+
+
 def test_pages_of_the_test_data(spark):
     for r in html.op1_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").drop("url"), "page_id").collect():
         assert r["n_chars"] == len(r["text"]) and "<" not in r["text"].replace("<p", "") and r["text"]

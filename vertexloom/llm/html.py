@@ -184,8 +184,8 @@ def blocks(page: str | None) -> list[tuple[str, int, str]]:
 
 
 def main_text(page: str | None, removed: frozenset[str] | set[str] = frozenset()) -> str:
-    """The page's text without the branches in ``removed``, a line for each block."""
-    return "\n".join(text for path, prior, text in blocks(page) if prior == 1 or not any(path == r or path.startswith(r + "/") for r in removed))
+    """The page's text without the blocks on the paths in ``removed``, a line for each block."""
+    return "\n".join(text for path, prior, text in blocks(page) if prior == 1 or path not in removed)
 
 
 def style_tree(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
