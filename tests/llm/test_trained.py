@@ -70,3 +70,9 @@ def test_boosting_and_isotonic():
     assert ((model.margin(x) > 0) == y).mean() > 0.95
     at, level = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert (np.diff(level) >= 0).all() and (np.diff(at) > 0).all() and level.tolist() == [0, 0.5, 1]
+
+
+def test_repeated_letters_of_a_long_text():
+    f = toxicity.Features(frozenset())
+    text = "sooo bad " * (1 << 19)
+    assert len(text) > 1 << 22 and dict(zip(toxicity.NAMES, f.of(text), strict=True))["repeated_letters"] == 0.5

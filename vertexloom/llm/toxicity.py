@@ -106,7 +106,7 @@ class Features:
         return [
             math.log1p(len(words)), float((k & 1).sum()) / n, float((k & 2 > 0).sum()) / n, float(len(at)), float(distinct), float(closest), near / n, len(you) / n,
             upper / max(1, letters), shout / n, count[33] / chars, count[63] / chars, punctuation / chars, float((k & 8 > 0).sum()) / n,
-            len(_REPEAT.findall(text)) / n if chars < 1 << 22 else 0.0, int(count[48:58].sum()) / chars,
+            sum(1 for _ in _REPEAT.finditer(text)) / n, int(count[48:58].sum()) / chars,
         ]
 
     def matrix(self, texts: list[str | None]) -> np.ndarray:
