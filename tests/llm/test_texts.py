@@ -31,6 +31,17 @@ def test_blocks_of_a_page():
     assert html.main_text("<p>x</p></div></p>y" + "<div>" * 3000 + "z") == "x\ny\nz"
 
 
+@pytest.mark.parametrize("noise", ["<datalist><option value=a><option value=b></datalist>", "<svg width='1'/>", "<svg><path d='x'/><g><text>t</text></g></svg>", "<svg><circle r=1>", "<option>o", "<select><option>a<option>b</select>", "<button>b</button>", "<object data=x />", "<canvas>c</canvas>"])
+def test_noise_elements_end(noise):
+    assert html.main_text(f"<body>{noise}<article><p>kept</p></article>{noise}<p>more</p></body>") == "kept\nmore"
+    assert html.main_text(f"<div>{noise}</div><p>after</p>") == "after"
+
+
+def test_text_of_formulas():
+    assert html.main_text("<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p><p>next</p></article>") == "let x=2 be\nnext"
+    assert html.main_text("<p>a <math/> b</p><p>c <math><mi>y</p><p>d</p>") == "a b\nc y\nd"
+
+
 def test_style_tree_removes_what_repeats(spark):
     rows = []
     for i in range(40):

@@ -41,11 +41,15 @@ _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select option button canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
+#: Formulas are part of the line that they stand in.
+MATH = frozenset("math semantics annotation annotation-xml mi mn mo ms mspace mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd".split())
+#: Elements that may close themselves by a slash, as may all within the first two.
+CLOSES_ITSELF = frozenset("svg math object select option button canvas".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 #: An opening tag of these closes an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
-NOISE_TAGS = frozenset("nav footer header aside form menu dialog head".split()) | RAW
+NOISE_TAGS = frozenset("nav footer header aside form menu dialog head object svg select optgroup option button canvas annotation annotation-xml".split()) | RAW
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar "
     "footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments "
@@ -95,7 +99,8 @@ def blocks(page: str | None) -> list[tuple[str, int, str]]:
 
     The path of an open block starts with ``+`` on a page that also has a main element: it lies
     beside the main text. White space inside a block becomes one space, references are decoded, empty blocks go.
-    Unclosed and stray tags are borne; whatever lies in a raw element (script, style, ...) goes.
+    Unclosed and stray tags are borne; whatever lies in a raw element (script, style, ...) goes,
+    and so do drawings, buttons and options; a formula's text stays.
     """
     if not page:
         return []
@@ -146,12 +151,24 @@ def blocks(page: str | None) -> list[tuple[str, int, str]]:
                     del stack[k:]
                     break
             continue
+        if m.group(3).endswith("/") and (tag in CLOSES_ITSELF or any(t in ("svg", "math") for t, _, _ in stack)):
+            current = current if tag in INLINE else None
+            continue
         if tag == "br":
             write(" ")
             continue
         if tag not in INLINE:
             current = None
             if tag in CLOSES_P:
+                # a block ends a drawing, a formula or an option that was left open
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in ("foreignobject", "annotation-xml"):
+                        break
+                    if stack[k][0] in ("svg", "math"):
+                        del stack[k:]
+                        break
+                while stack[-1][0] in ("option", "optgroup") and not any(t == "select" for t, _, _ in stack):
+                    stack.pop()
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
                         del stack[k:]
@@ -163,9 +180,9 @@ def blocks(page: str | None) -> list[tuple[str, int, str]]:
                     if stack[k][0] == tag or tag in ("dt", "dd") and stack[k][0] in ("dt", "dd"):
                         del stack[k:]
                         break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "tr") and tag != "tr":
+                    if stack[k][0] in ("ul", "ol", "dl", "table", "tr", "select", "datalist") and tag != "tr":
                         break
-        if tag in VOID or m.group(3).endswith("/") and tag not in RAW and tag in ("path", "circle"):
+        if tag in VOID:
             continue
         attributes = m.group(3)
         if tag in RAW:
