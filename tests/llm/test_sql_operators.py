@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from helpers import documents, oracle_rows, spark_rows
+from helpers import documents, oracle_rows, shingles, spark_rows
 from pyspark.sql import functions as F
 
 import vertexloom.llm.quality as quality
@@ -71,6 +71,8 @@ def test_windows(spark):
     kept = decontaminate.drop_contaminated(documents(spark, texts), items)
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 4]
     assert decontaminate.judge(documents(spark, [item, item], [None, None]), items).where("n_hit = 10").count() == 2
+    mixed = decontaminate.drop_contaminated(documents(spark, [item, "clean text", item, None, "clean too"], [None, None, 3, None, 3]), items)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in mixed.collect()) == [("3", "clean too"), ("None", "None"), ("None", "clean text")]
 
 
 def test_licence_lines(spark):
@@ -93,6 +95,39 @@ def test_near_duplicates_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 5, 6, 8, 9]
 
 
+def test_one_row_of_each_group_stays(spark):
+    base, other = " ".join(f"w{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))
+    near = base + " more"
+    rows = [(base, 1), (base, 1), (near, 1), (base, None), (base, None), (other, 7), (near, 7), (other, 7), (None, 8), (None, 8), (None, 9), ("", None)]
+    got = [(r["doc_id"], r["text"]) for r in neardup.keep_one_of_each(documents(spark, [t for t, _ in rows], [i for _, i in rows])).collect()]
+    kept = [t for _, t in got if t]
+    assert len(kept) == 2 and other in kept and ({base, near} & set(kept))
+    assert sorted(((i, t) for i, t in got if not t), key=str) == sorted([(8, None), (9, None), (None, "")], key=str)
+    alone = neardup.keep_one_of_each(documents(spark, [base, base, near], [5, None, 6])).collect()
+    assert [r["doc_id"] for r in alone] == [5]
+    assert neardup.keep_one_of_each(documents(spark, [])).count() == 0
+    both = neardup.near_duplicates(documents(spark, [base, other, other + " x"], [3, 3, 4]), k=2).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in both) == [(3, 3, True), (3, 3, True), (4, 3, False)]
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity just above 0.8 are found, those below are not."""
+    import random
+
+    pick, texts = random.Random(4), []
+    for i in range(150):
+        w = [f"t{i}_{j}" for j in range(200)]
+        other = list(w)
+        for at in pick.sample(range(5, 195), 4):
+            other[at] = f"e{i}_{at}"
+        texts += [" ".join(w), " ".join(other)]
+    sets = [shingles(t, 5) for t in texts]
+    linked = {2 * i for i in range(150) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    found = {i for i in range(0, 300, 2) if got[i + 1] == i}
+    assert found <= linked and len(found) >= 0.99 * len(linked) and 30 < len(linked)
+
+
 def test_links_across_components(spark):
     """A family whose members reach each other only past their leader."""
     from helpers import components, shingles

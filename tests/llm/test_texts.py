@@ -219,6 +219,36 @@ def test_spans_inside_lines(spark):
     assert substrings.dedup_repeats(documents(spark, [])).count() == 0 and set(substrings.dedup_repeats(docs).columns) == set(docs.columns)
 
 
+def test_rows_that_share_an_id_keep_unique_text(spark):
+    rng = np.random.default_rng(21)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 9000, n))
+    shared, unique, tails = prose(60), prose(60), [prose(30) for _ in range(3)]
+    texts = [shared, f"{unique}\n{tails[0]}", f"{shared}\n{tails[1]}", f"{tails[2]} {shared} end", None, f"{unique} x"]
+    got = [(r["doc_id"], r["text"]) for r in substrings.dedup_repeats(documents(spark, texts, [1, 7, 7, 7, 7, None])).collect()]
+    assert sorted(got, key=str) == sorted([(1, shared), (7, texts[1]), (7, tails[1]), (7, f"{tails[2]} end"), (7, None), (None, texts[5])], key=str)
+    twice = substrings.dedup_repeats(documents(spark, [shared, f"{tails[0]}\n{shared}", f"{tails[0]}\n{shared}"], [1, 2, 2])).collect()
+    assert sorted(r["text"] for r in twice) == sorted([shared, tails[0], tails[0]])
+
+
+def test_recall_of_planted_passages(spark):
+    """Passages of 60 words on a line of their own, inside of a line, and wrapped otherwise."""
+    rng = np.random.default_rng(23)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 30_000, n))
+    texts, want = [], {}
+    for i in range(60):
+        passage = " ".join(f"p{i}_{j}" for j in range(60))
+        wrapped = lambda n: "\n".join(" ".join(passage.split(" ")[k : k + n]) for k in range(0, 60, n))
+        copies = [f"{prose(50)}\n{passage}\n{prose(50)}", f"{prose(50)}\n{passage}\n{prose(20)}", f"{prose(80)} {passage} {prose(80)}", f"{prose(30)}\n{wrapped(13)}\n{prose(30)}", f"{prose(5)} {wrapped(17)} {prose(5)}"]
+        want |= {len(texts) + k: set(words(passage)) for k in range(1, 5)}
+        texts += copies
+    clean = [prose(150) for _ in range(50)]
+    got = {r["doc_id"]: r for r in substrings.dedup_repeats(documents(spark, texts + clean)).collect()}
+    caught = [not want[d] & set(words(got[d]["text"])) for d in want]
+    assert sum(caught) >= 0.9 * len(want)
+    assert all(got[len(texts) + i]["text"] == t and not got[len(texts) + i]["removed"] for i, t in enumerate(clean))
+    assert all(got[d]["text"] == texts[d] for d in range(0, len(texts), 5))
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(5)
     prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4000, n))

@@ -21,16 +21,13 @@ from pyspark.sql import functions as F
 from .shingles import _lines, _power, encoded, mix
 from .tables import Scratch, give_back
 
-#: Texts that are hashed at once, and the table rows that are broadcast at most.
-TEXTS, BROADCAST_ROWS = 64, 400_000
+#: Texts that are hashed at once.
+TEXTS = 64
+#: Words of the shorter windows; the more of them in a window, the fewer fingerprints.
+SHORT = 10
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A saved table, broadcast when its count shows that it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _sliding(of, x: np.ndarray, n: int) -> np.ndarray:
     """``of`` (minimum or maximum) over every n neighbours of ``x``."""
     size = 1
@@ -57,7 +54,7 @@ class Windows:
             out.append(np.isin(line, np.asarray(gone[i])) if gone[i] is not None and len(gone[i]) else np.zeros(len(h), dtype=bool))
         empty = np.zeros(0, dtype=np.int64)
         join = lambda x: np.concatenate(x) if x else empty
-        h, self.at, self.text, self.least, self.short = join(hashes).astype(np.uint64), join(at), join(text), least, (least + 1) // 2
+        h, self.at, self.text, self.least, self.short = join(hashes).astype(np.uint64), join(at), join(text), least, min(SHORT, (least + 1) // 2)
         self.sums = np.zeros(len(h) + 1, dtype=np.uint64)
         np.cumsum(h * _power(len(h) + 1)[0][: len(h)], out=self.sums[1:])
         n = max(0, len(h) - least + 1)
@@ -134,14 +131,27 @@ def cut(text: str, gone: list[int], found: list[tuple[int, object]], least: int)
     return [tuple(r) for r in removed], whole, parts
 
 
-def repeated_spans(rows: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """(id, name, removed, whole, parts) of texts with repeated spans of at least ``least`` words.
+def shortened(text: str, gone: list[tuple], found: list[tuple], least: int) -> tuple[str, list[tuple]]:
+    """A text without the lines ``gone`` (pos, words, first_id) and the windows ``found``, and all that it lost."""
+    pieces, whole, parts = cut(text, [g[0] for g in gone], found, least) if found else ([], [], [])
+    out, kept = {g[0] for g in gone} | set(whole), {}
+    for pos, start, length in parts:
+        kept.setdefault(pos, []).append((start, length))
+    lines = []
+    for pos, line in enumerate(text.split("\n")):
+        if pos not in out:
+            lines.append("".join(line[a : a + n] for a, n in kept[pos]) if pos in kept else line)
+    return "\n".join(lines), [*gone, *pieces]
+
+
+def repeated_spans(rows: DataFrame, gone: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """(id, name, found) of texts with repeated windows: (at, first_id) of each one.
 
-    ``rows`` has (id, text, gone), no nulls but in gone: the lines of the text that have been
-    removed. ``name`` is the text's hash, as rows of one id may differ; for the rest see ``cut``.
+    ``rows`` has (id, name, text) without nulls, ``name`` being a hash of the text; ``gone`` has
+    (id, name, gone), the lines of texts that have been removed before. Windows that lie in such
+    lines altogether neither go nor count as an earlier copy.
     """
     kind = dict(rows.dtypes)["id"]
-    rows = rows.select("id", F.xxhash64("text").alias("name"), "text", "gone")
 
     def table(pdf: pd.DataFrame, of: np.ndarray, w: Windows, hashes: np.ndarray) -> pd.DataFrame:
         text = w.text[of]
@@ -151,8 +161,9 @@ def repeated_spans(rows: DataFrame, least: int, scratch: Scratch) -> DataFrame:
         for pdf in batches:
             for a in range(0, len(pdf), TEXTS):
                 part = pdf.iloc[a : a + TEXTS]
-                w = Windows(part["text"].tolist(), part["gone"].tolist(), least)
-                yield table(part, *(lambda of, h: (of, w, h))(*w.fingerprints()))
+                w = Windows(part["text"].tolist(), [None] * len(part), least)
+                of, h = w.fingerprints()
+                yield table(part, of, w, h)
         give_back()
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,27 +176,20 @@ def repeated_spans(rows: DataFrame, least: int, scratch: Scratch) -> DataFrame:
                 yield table(part, of, w, w.hashed(least)[of])
         give_back()
 
-    def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, name, text, gone, found in zip(pdf["id"], pdf["name"], pdf["text"], pdf["gone"], pdf["found"], strict=True):
-                removed, whole, parts = cut(text, [] if gone is None else list(gone), [(f["at"], f["first_id"]) for f in found], least)
-                if removed:
-                    out.append((i, name, [dict(zip(("pos", "words", "first_id"), r, strict=True)) for r in removed], whole, [dict(zip(("pos", "start", "length"), p, strict=True)) for p in parts]))
-            yield pd.DataFrame(out, columns=["id", "name", "removed", "whole", "parts"])
-        give_back()
-
     columns = f"h long, id {kind}, name long, at int"
     prints = scratch.save(rows.mapInPandas(fingerprints, columns))
-    twice = lambda t: t.groupBy("h").agg(F.min(F.struct("id", "name", "at")).alias("first"), F.max(F.struct("id", "name", "at")).alias("last")).where("first <> last")
-    again = prints.join(_small(scratch.save(twice(prints).select("h"))), "h", "left_semi")
-    places = scratch.save(again.groupBy("id", "name").agg(F.collect_set("at").alias("places")))
+    again = scratch.save(prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    again = prints.join(again.hint("shuffle_hash"), "h", "left_semi")
+    places = again.groupBy("id", "name").agg(F.collect_set("at").alias("places")).join(gone, ["id", "name"], "left")
+    every = scratch.save(rows.join(places.hint("shuffle_hash"), ["id", "name"]).mapInPandas(windows, columns))
     scratch.drop(prints)
-    every = scratch.save(rows.join(_small(places), ["id", "name"]).mapInPandas(windows, columns))
-    later = every.join(_small(scratch.save(twice(every).select("h", "first"))), "h")
+    # most windows stand once: a count, which needs no sort, leaves few for the first place
+    twice = scratch.save(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    twice = scratch.save(every.join(twice.hint("shuffle_hash"), "h", "left_semi"))
+    scratch.drop(every)
+    first = scratch.save(twice.groupBy("h").agg(F.min(F.struct("id", "name", "at")).alias("first")))
+    later = twice.join(first.hint("shuffle_hash"), "h")
     later = later.where((F.col("id") != F.col("first.id")) | (F.col("name") != F.col("first.name")) | (F.col("at") >= F.col("first.at") + least))
     found = scratch.save(later.groupBy("id", "name").agg(F.collect_set(F.struct("at", F.col("first.id").alias("first_id"))).alias("found")))
-    scratch.drop(every)
-    lost = f"array<struct<pos: int, words: int, first_id: {kind}>>"
-    done = rows.join(_small(found), ["id", "name"]).mapInPandas(cuts, f"id {kind}, name long, removed {lost}, whole array<int>, parts array<struct<pos: int, start: int, length: int>>")
-    return scratch.save(done.dropDuplicates(["id", "name"]))
+    scratch.drop(twice, first)
+    return found

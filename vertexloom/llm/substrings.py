@@ -9,6 +9,9 @@ after the other in a document, of at least ``LEAST_WORDS`` words together.
 
 ``dedup_passages`` removes such lines; ``dedup_repeats`` also cuts spans of as many words that
 repeat inside of lines, or begin and end within them (``spans``).
+
+A document is named by its id and a hash of its text, ``name``: rows of one id with different
+texts are documents of their own, in the order of their names.
 """
 
 from __future__ import annotations
@@ -16,28 +19,32 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .neardup import confirmed_links
+from .neardup import confirmed_links, led_by_size, sets_of
 from .shingles import MinMax, Paragraphs
-from .spans import repeated_spans
-from .tables import Scratch, give_back, read
+from .spans import repeated_spans, shortened
+from .tables import Scratch, free_name, give_back, read
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 10, 2
 LEAST_WORDS = 40
 #: Unequal sets of fewer shingles can't reach the similarity: 3 / 4 < 0.8.
 LEAST_SET = 4
-#: Tables of at most so many rows of a few numbers are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 400_000
 #: Texts that are turned into paragraphs at once.
 TEXTS = 64
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, name, text) of the documents that can lose something."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("name"), text.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+
+
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """(id, pos, ord, words, n, k1, k2, bands) of every line with a word of (id, text)."""
+    """(id, name, pos, ord, words, n, k1, k2, bands) of every line with a word of (id, name, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashing = MinMax(BANDS, ROWS)
@@ -45,53 +52,60 @@ def paragraphs(rows: DataFrame) -> DataFrame:
             for a in range(0, len(pdf), TEXTS):
                 part = pdf.iloc[a : a + TEXTS]
                 p = Paragraphs(part["text"].tolist(), SHINGLE, hashing)
-                banded = [list(b) if n >= LEAST_SET else None for b, n in zip(p.bands, p.n.tolist(), strict=True)]
-                yield pd.DataFrame({"id": part["id"].to_numpy()[p.text], "pos": p.pos, "ord": p.order, "words": p.words, "n": p.n, "k1": p.k1, "k2": p.k2, "bands": banded})
+                banded = [b if n >= LEAST_SET else None for b, n in zip(p.bands, p.n.tolist(), strict=True)]
+                yield pd.DataFrame({"id": part["id"].to_numpy()[p.text], "name": part["name"].to_numpy()[p.text], "pos": p.pos, "ord": p.order, "words": p.words, "n": p.n, "k1": p.k1, "k2": p.k2, "bands": banded})
         give_back()
 
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, pos int, ord int, words int, n int, k1 long, k2 long, bands array<long>")
+    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, name long, pos int, ord int, words int, n int, k1 long, k2 long, bands array<long>")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A saved table, broadcast when its count shows that it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _once(value: Column, use) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _shown(rows: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, text) of one line for each of the sets ``wanted`` (k1)."""
+    right = scratch.small(wanted)
+    few = right is not wanted
+    # a shuffled join comes after the sets are made distinct, so that no frequent line meets in a task
+    shown = (lines.join(right, "k1", "left_semi") if few else lines).groupBy("k1", "k2").agg(F.min(F.struct("id", "name", "pos")).alias("at"))
+    shown = shown if few else shown.join(right, "k1", "left_semi")
+    shown = shown.groupBy(F.col("at.id").alias("id"), F.col("at.name").alias("name")).agg(F.collect_list(F.struct("k1", F.col("at.pos").alias("pos"))).alias("shown"))
+    both = rows.join(shown.hint("shuffle_hash"), ["id", "name"])
+    of_text = _once(F.split("text", "\n"), lambda parts: F.transform("shown", lambda s: F.struct(s["k1"].alias("id"), F.get(parts, s["pos"]).alias("text"))))
+    return both.select(F.inline(of_text)).distinct()
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, removed) of the documents that lose paragraphs: (pos, words, first_id) of each one."""
+    """(id, name, removed) of the documents that lose paragraphs: (pos, words, first_id) of each one."""
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    rows = _rows(docs, id_col, text_col)
     lines = scratch.save(paragraphs(rows))
 
     # near copies: k1 stands for a set here; a clash of k1 only adds pairs to compare
-    banded = lines.where("bands IS NOT NULL").select(F.col("k1").alias("id"), F.explode("bands").alias("bucket"))
-    buckets = scratch.save(banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead"))
-    members = scratch.save(banded.join(_small(buckets), "bucket").select("bucket", "id", "lead").distinct())
-    wanted = scratch.save(members.select(F.col("id").alias("k1")).distinct())
-    few = wanted.count() <= BROADCAST_ROWS
-    # a shuffled join comes after the sets are made distinct, so that no frequent line meets in a task
-    shown = (lines.join(F.broadcast(wanted), "k1", "left_semi") if few else lines).groupBy("k1", "k2").agg(F.min(F.struct("id", "pos")).alias("at"))
-    shown = shown if few else shown.join(wanted, "k1", "left_semi")
-    shown = scratch.save(shown.groupBy(F.col("at.id").alias("of")).agg(F.collect_list(F.struct("k1", F.col("at.pos").alias("pos"))).alias("shown")))
-    texts = rows.join(_small(shown), F.col("id") == F.col("of")).select(F.split("text", "\n").alias("lines"), F.explode("shown").alias("s"))
-    texts = scratch.save(texts.select(F.col("s.k1").alias("id"), F.get("lines", F.col("s.pos")).alias("text")).distinct())
-    links = confirmed_links(members, texts, SHINGLE, PERCENT, scratch)
-    labels = connected_components(links, scratch)
+    banded = lines.where("bands IS NOT NULL").select(F.col("k1").alias("id"), "n", F.explode("bands").alias("bucket"))
+    buckets = scratch.save(banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket"))
+    members = scratch.save(banded.join(scratch.small(buckets, "shuffle_hash"), "bucket").select("bucket", "id", "n").distinct())
+    members = scratch.save(led_by_size(members, PERCENT))
+    sets = scratch.save(sets_of(_shown(rows, lines, scratch.save(members.select(F.col("id").alias("k1")).distinct()), scratch), SHINGLE))
+    labels = connected_components(confirmed_links(members, sets, PERCENT, scratch), scratch)
+    scratch.drop(members, sets)
 
     # a component of near copies, or else a set of its own, named in full
     known = labels.select(F.col("node").alias("k1"), F.col("component").alias("c1"))
-    own = scratch.save(lines.join(_small(known), "k1", "left").select(
-        "id", "pos", "ord", "words", F.coalesce("c1", "k1").alias("c1"), F.when(F.col("c1").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("c2")))
+    own = scratch.save(lines.join(scratch.small(scratch.save(known), "shuffle_hash"), "k1", "left").select(
+        "id", "name", "pos", "ord", "words", F.coalesce("c1", "k1").alias("c1"), F.when(F.col("c1").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("c2")))
     scratch.drop(lines)
-    firsts = own.groupBy("c1", "c2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("c1", "c2", "first")
-    later = own.join(_small(scratch.save(firsts)), ["c1", "c2"]).where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
-    per_doc = later.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("ord", "pos", "words", F.col("first.id").alias("first_id")))).alias("later"))
+    firsts = own.groupBy("c1", "c2").agg(F.min(F.struct("id", "name", "pos")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("c1", "c2", "first")
+    firsts = scratch.save(firsts)
+    later = own.join(scratch.small(firsts, "shuffle_hash"), ["c1", "c2"]).where(F.struct("id", "name", "pos") != F.col("first"))
+    per_doc = later.groupBy("id", "name").agg(F.sort_array(F.collect_set(F.struct("ord", "pos", "words", F.col("first.id").alias("first_id")))).alias("later"))
     kind = dict(rows.dtypes)["id"]
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, later in zip(pdf["id"], pdf["later"], strict=True):
+            for doc, name, later in zip(pdf["id"], pdf["name"], pdf["later"], strict=True):
                 gone, run = [], []
                 for line in [*later, None]:
                     if run and (line is None or line["ord"] != run[-1]["ord"] + 1):
@@ -100,26 +114,54 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         run = []
                     run.append(line)
                 if gone:
-                    out.append((doc, [{"pos": r["pos"], "words": r["words"], "first_id": r["first_id"]} for r in gone]))
-            yield pd.DataFrame(out, columns=["id", "removed"])
+                    out.append((doc, name, [{"pos": r["pos"], "words": r["words"], "first_id": r["first_id"]} for r in gone]))
+            yield pd.DataFrame(out, columns=["id", "name", "removed"])
+
+    out = scratch.save(per_doc.mapInPandas(runs, f"id {kind}, name long, removed array<struct<pos: int, words: int, first_id: {kind}>>"))
+    scratch.drop(own, firsts)
+    return out
 
-    return scratch.save(per_doc.mapInPandas(runs, f"id {kind}, removed array<struct<pos: int, words: int, first_id: {kind}>>"))
+
+def _without(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """``docs`` without the lines and windows that ``lost`` (id, name, lines, found) names, and ``removed``."""
+    docs = docs.drop("removed")
+    gid, gname, gone = (free_name(docs, x) for x in ("_gone_id", "_gone_name", "_gone"))
+    kinds = dict(lost.dtypes)
+
+    def shorten(texts: pd.Series, lines: pd.Series, found: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, gone, windows in zip(texts, lines, found, strict=True):
+            if text is None:
+                out.append((None, None))
+                continue
+            gone = [] if gone is None else [(g["pos"], g["words"], g["first_id"]) for g in gone]
+            left, removed = shortened(text, gone, [] if windows is None else [(f["at"], f["first_id"]) for f in windows], least_words)
+            out.append((left, [dict(zip(("pos", "words", "first_id"), r, strict=True)) for r in removed]))
+        return pd.DataFrame(out, columns=["text", "removed"])
+
+    shorter = F.pandas_udf(shorten, f"text string, removed {kinds['lines']}")
+    right = lost.select(F.col("id").alias(gid), F.col("name").alias(gname), F.struct("lines", "found").alias(gone)).hint("shuffle_hash")
+    both = docs.join(right, (F.col(id_col) == F.col(gid)) & (F.xxhash64(text_col) == F.col(gname)), "left")
+    # texts that lose nothing don't go to Python
+    both = both.withColumn(gone, shorter(F.when(F.col(gid).isNotNull(), F.col(text_col)), F.col(f"{gone}.lines"), F.col(f"{gone}.found")))
+    text = F.when(F.col(gid).isNull(), F.col(text_col)).otherwise(F.col(f"{gone}.text"))
+    removed = F.coalesce(F.col(f"{gone}.removed"), F.array().cast(kinds["lines"]))
+    return both.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], removed.alias("removed"))
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """Every row of ``docs`` with column ``removed`` added and repeated passages taken from its text.
 
-    Rows with one id are one document. Null ids, null texts and texts without words are left as
-    they are, with an empty ``removed``. Passages of fewer than ``least_words`` words stay. A
-    text may become empty; its row stays. A column of ``docs`` named ``removed`` is replaced.
+    Rows alike in id and text are one document and lose the same; rows of one id with different
+    texts are each their own. Null ids, null texts and texts without words are left as they are,
+    with an empty ``removed``. Passages of fewer than ``least_words`` words stay. Texts of any
+    length are read whole. A text may become empty; its row stays. An empty table gives an empty
+    table. A column of ``docs`` named ``removed`` is replaced; others may have any name.
     """
-    gone = repeated_passages(docs, id_col, text_col, least_words).select(F.col("id").alias("_gone_id"), F.col("removed").alias("_gone"))
-    docs = docs.drop("removed")
-    both = docs.join(_small(gone), docs[id_col] == gone["_gone_id"], "left")
-    left = F.filter(F.split(docs[text_col], "\n"), lambda _, i: ~F.array_contains(gone["_gone"]["pos"], i))
-    text = F.when(gone["_gone"].isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
-    none = F.array().cast(dict(gone.dtypes)["_gone"])
-    return both.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(gone["_gone"], none).alias("removed"))
+    gone = repeated_passages(docs, id_col, text_col, least_words)
+    kind = dict(gone.dtypes)["id"]
+    lost = gone.select("id", "name", F.col("removed").alias("lines"), F.lit(None).cast(f"array<struct<at: int, first_id: {kind}>>").alias("found"))
+    return _without(docs, lost, id_col, text_col, least_words)
 
 
 def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -129,24 +171,10 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     line loses; a line that loses all goes whole.
     """
     scratch = Scratch(docs.sparkSession)
-    gone = repeated_passages(docs, id_col, text_col, least_words).select(F.col("id").alias("_gone_id"), F.col("removed").alias("_gone"))
-    docs, gone = docs.drop("removed"), _small(gone)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    rows = rows.join(gone, F.col("id") == F.col("_gone_id"), "left").select("id", "text", F.col("_gone.pos").alias("gone"))
-    cuts = _small(repeated_spans(rows, least_words, scratch).select(*[F.col(c).alias(f"_cut_{c}") for c in ("id", "name", "removed", "whole", "parts")]))
-    both = docs.join(gone, docs[id_col] == gone["_gone_id"], "left")
-    both = both.join(cuts, (docs[id_col] == cuts["_cut_id"]) & (F.xxhash64(docs[text_col]) == cuts["_cut_name"]), "left")
-    removed = F.concat(*[F.coalesce(c, F.array().cast(dict(gone.dtypes)["_gone"])) for c in (gone["_gone"], cuts["_cut_removed"])])
-    dropped = F.concat(*[F.coalesce(c, F.array().cast("array<int>")) for c in (gone["_gone"]["pos"], cuts["_cut_whole"])])
-    parts = cuts["_cut_parts"]
-
-    def line(text, i):
-        mine = F.array_join(F.transform(F.filter(parts, lambda p: p["pos"] == i), lambda p: text.substr(p["start"] + 1, p["length"])), "")
-        return F.when(F.array_contains(dropped, i), F.lit(None)).when(F.array_contains(parts["pos"], i), mine).otherwise(text)
-
-    left = F.array_join(F.filter(F.transform(F.split(docs[text_col], "\n"), line), lambda x: x.isNotNull()), "\n")
-    text = F.when(gone["_gone"].isNull() & cuts["_cut_id"].isNull(), docs[text_col]).otherwise(left)
-    return both.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], removed.alias("removed"))
+    gone = repeated_passages(docs, id_col, text_col, least_words)
+    found = repeated_spans(_rows(docs, id_col, text_col), gone.select("id", "name", F.col("removed.pos").alias("gone")), least_words, scratch)
+    lost = gone.select("id", "name", F.col("removed").alias("lines")).join(found, ["id", "name"], "full")
+    return _without(docs, scratch.save(lost), id_col, text_col, least_words)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
