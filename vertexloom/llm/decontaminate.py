@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .tables import read
+from .tables import Scratch, free_name, read
 from .urls import LOWER, UPPER
 
 SPAN, GRAM = 8, 4
@@ -90,35 +90,44 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     out; rows of one item id are one item. An empty benchmark contaminates nothing. Only the
     named columns are read, so other columns may have any name.
     """
+    return _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, least_items).select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items", "contaminated")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, least_items: int) -> DataFrame:
+    """``judge`` with ``name``, a hash of the row's text, and its own name for the id."""
     wins = benchmark_windows(benchmark, item_col, item_text_col)
     sizes = wins.groupBy("len").count().collect()  # at most SPAN rows
     lengths, n = sorted(r["len"] for r in sizes), sum(r["count"] for r in sizes)
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w"))
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_col).alias("name"), words(F.col(text_col)).alias("w"))
     if not lengths:
         lengths, n = [SPAN], 0
     bits, blocks = bloom.build(wins.select(F.col("fp").alias("h")), n)
     rows = rows.withColumn("bits", bits.scalar())
-    found = rows.select("id", "row", F.size("w").cast("long").alias("n_words"), candidates(F.col("w"), lengths, F.col("bits"), blocks).alias("c"))
-    each = found.select("id", "row", "n_words", F.explode_outer("c").alias("c")).select(
-        "id", "row", "n_words", "c.start", F.coalesce("c.len", F.lit(-1)).alias("len"),
+    found = rows.select("id", "row", "name", F.size("w").cast("long").alias("n_words"), candidates(F.col("w"), lengths, F.col("bits"), blocks).alias("c"))
+    each = found.select("id", "row", "name", "n_words", F.explode_outer("c").alias("c")).select(
+        "id", "row", "name", "n_words", "c.start", F.coalesce("c.len", F.lit(-1)).alias("len"),
         F.coalesce("c.win", F.col("row").cast("string")).alias("win"))  # no row is left without a key: they would all meet in one task
     right = wins.select("win", "len", "items")
     hit = each.join(F.broadcast(right) if n <= BROADCAST_WINDOWS else right, ["win", "len"], "left")
     span = F.when(F.col("items").isNotNull(), F.sequence(F.col("start"), F.col("start") + F.col("len") - 1))
-    docs_hit = hit.groupBy("row", "id", "n_words").agg(F.collect_list(span).alias("spans"), F.collect_set("items").alias("sets"))
+    docs_hit = hit.groupBy("row", "id", "name", "n_words").agg(F.collect_list(span).alias("spans"), F.collect_set("items").alias("sets"))
     items = F.array_sort(F.array_distinct(F.flatten("sets")))
     return docs_hit.select(
-        F.col("id").alias(id_col), "n_words", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("n_hit"),
+        "id", "name", "n_words", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"), items.alias("items"), (F.size(items) >= least_items).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_items: int = 1) -> DataFrame:
-    """The documents that hold windows of fewer than ``least_items`` items, all columns kept.
+    """The rows that hold windows of fewer than ``least_items`` items, all columns kept.
 
-    Ids identify documents: rows that share an id go together. A null id is an id like others.
+    A row goes with its own text only: of rows that share an id, or have none, those whose texts
+    hold no window stay. Columns may have any name.
     """
-    bad = judge(docs, benchmark, id_col, text_col, least_items=least_items).where("contaminated").select(F.col(id_col).alias("_bad_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]), "left_anti")
+    scratch = Scratch(docs.sparkSession)
+    bad_id, bad_name = free_name(docs, "_bad_id"), free_name(docs, "_bad_name")
+    bad = _judged(docs, benchmark, id_col, text_col, "item_id", "text", least_items).where("contaminated").select(F.col("id").alias(bad_id), F.col("name").alias(bad_name))
+    bad = scratch.save(bad.distinct())
+    return docs.join(scratch.small(bad), F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.xxhash64(text_col) == F.col(bad_name)), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
