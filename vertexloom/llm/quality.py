@@ -14,12 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read
+from .tables import Scratch, read
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
-#: Rows of the sample on which costs and selectivities are measured.
+#: Expected rows of the random sample on which costs and selectivities are measured.
 SAMPLE_ROWS = 1000
+#: Seconds a row below which a cost can't be told from a job's own time.
+LEAST_COST = 2e-5
 
 
 @dataclass(frozen=True)
@@ -44,10 +46,14 @@ def symbols(text: Column) -> Column:
     return F.coalesce(F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, "")), F.lit(0)).cast("long")
 
 
-def duplicate_lines(text: Column) -> Column:
-    """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.btrim(line, F.lit(SPACE))) > 0)
-    return F.coalesce(F.size(lines) - F.size(F.array_distinct(lines)), F.lit(0)).cast("long")
+def lines(text: Column) -> Column:
+    """The \\n-split lines that have a word."""
+    return F.coalesce(F.filter(F.split(text, "\n"), lambda line: F.length(F.btrim(line, F.lit(SPACE))) > 0), F.array().cast("array<string>"))
+
+
+def duplicate_lines(lines: Column) -> Column:
+    """Lines that equal an earlier line."""
+    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
 def _once(value: Column, use) -> Column:
@@ -55,7 +61,7 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def repeated_words(text: Column) -> Column:
+def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows found twice or more in the text, the first one included.
 
     Windows are compared by 64-bit hash within one text; a hash's positions are neighbours once
@@ -74,15 +80,17 @@ def repeated_words(text: Column) -> Column:
         shifted = [p, F.transform(p, lambda i: i + 1), F.transform(p, lambda i: i + 2)]
         return F.size(F.array_distinct(F.concat(*shifted)))
 
-    positions = _once(F.sort_array(_once(words(text), windows)), twice)
+    positions = _once(F.sort_array(windows(words)), twice)
     return F.coalesce(_once(positions, covered), F.lit(0)).cast("long")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
-
+#: Each metric over the columns ``text``, ``words`` and ``lines``.
+METRICS = {
+    "n_words": lambda c: F.size(c("words")).cast("long"), "word_chars": lambda c: word_chars(c("text")), "n_symbols": lambda c: symbols(c("text")),
+    "n_dup_lines": lambda c: duplicate_lines(c("lines")), "n_repeat_words": lambda c: repeated_words(c("words")),
+}
+LINES = {"n_lines": lambda c: F.size(c("lines")).cast("long")}
 
-METRICS = {"n_words": n_words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": duplicate_lines, "n_repeat_words": repeated_words}
 
 #: The base rules, over metrics; a rule that needs fewer metrics costs less.
 BASE = (
@@ -98,9 +106,8 @@ PRODUCTION = (
 )
 
 
-def _metrics(text: Column) -> dict[str, Column]:
-    lines = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)), F.lit(0)).cast("long")
-    return {name: f(text) for name, f in METRICS.items()} | {"n_lines": lines}
+def _metrics(column) -> dict[str, Column]:
+    return {name: f(column) for name, f in (METRICS | LINES).items()}
 
 
 def _reject(rule: Rule, metrics: dict[str, Column]) -> Column:
@@ -136,24 +143,33 @@ def _over(sql: str, m: Column, names: list[str]) -> Column:
     return out
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a row, share rejected) on a sample of at most ``sample_rows`` whole texts.
+def sample(docs: DataFrame, rows: int, scratch: Scratch, text_col: str) -> DataFrame:
+    """About ``rows`` rows of ``docs`` picked at random from all of it, saved: (text, words, lines)."""
+    n = docs.count()
+    some = docs.sample(min(1.0, rows / max(n, 1)), seed=7) if n > rows else docs
+    text = F.col(text_col)
+    return scratch.save(some.select(text.alias("text"), words(text).alias("words"), lines(text).alias("lines")))
+
+
+def measure(sample: DataFrame, rules: tuple[Rule, ...], metrics: dict[str, Column]) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds a row, share rejected) on a saved sample; only counts come to the driver.
 
-    The time of reading the sample alone is taken off; only counts come to the driver.
+    The time of reading the sample is taken off. What a rule costs beyond it is that of the
+    metrics as they are given: expressions that are computed, or columns that are there already.
     """
-    sample = docs.select(F.col(text_col).alias("text")).limit(sample_rows)
-    metrics, out = _metrics(F.col("text")), []
+    out = []
 
     def timed(test: Column) -> tuple[float, int, int]:
         began = time.perf_counter()
         n, rows = sample.agg(F.count_if(test), F.count("*")).first()
         return time.perf_counter() - began, n, max(1, rows)
 
-    timed(F.col("text").isNull())
-    reading = timed(F.col("text").isNull())[0]
+    nothing = F.col("text").isNull() & F.col("words").isNull() & F.col("lines").isNull()
+    timed(nothing)
+    reading = timed(nothing)[0]
     for rule in rules:
         took, n, rows = timed(_reject(rule, metrics))
-        out.append((rule, max(1e-9, took - reading) / rows, n / rows))
+        out.append((rule, max(LEAST_COST, (took - reading) / rows), n / rows))
     return out
 
 
@@ -174,21 +190,41 @@ def cascade(rules: list[Rule], metrics: dict[str, Column]) -> Column:
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = BASE + PRODUCTION, text_col: str = "text") -> DataFrame:
     """The rows that no rule rejects, with all their columns.
 
-    Null and empty texts have no words, so the base rules reject them. Repeated rows are judged
-    alike. Only ``text_col`` is read, so other columns may have any name. An empty table gives
-    an empty table.
+    Null and empty texts have no words, so the base rules reject them. Texts of any length are
+    judged whole, and repeated rows alike. An empty table gives an empty table. Columns may have
+    any name.
     """
-    rules = order(measure(docs, tuple(rules), text_col=text_col))
-    return docs.where(cascade(rules, _metrics(F.col(text_col))).isNull())
+    scratch = Scratch(docs.sparkSession)
+    some = sample(docs, SAMPLE_ROWS, scratch, text_col)
+    ordered = order(measure(some, tuple(rules), _metrics(F.col)))
+    scratch.drop(some)
+    # words are split once, as nearly every rule needs them; lines only where a rule comes to them
+    text = F.col(text_col)
+
+    def rejected_by(w: Column) -> Column:
+        return cascade(ordered, _metrics({"text": text, "words": w, "lines": lines(text)}.__getitem__))
+
+    return docs.where(_once(words(text), rejected_by).isNull())
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = PRODUCTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's metrics, ``base_failed`` and ``kept``, null and repeated rows included."""
-    cheap = {name: F.col(name) for name in (*METRICS, "n_lines")}
-    rules = order(measure(docs, tuple(rules), text_col=text_col))
+    """Every document's metrics, ``base_failed`` and ``kept``, null and repeated rows included.
+
+    As all metrics are asked for, the rules run over columns that are there; the cascade stops
+    at the base rules, then at the first rule that rejects. Null ids are ids like others; texts
+    of any length are read whole; an empty table gives an empty table.
+    """
+    scratch = Scratch(docs.sparkSession)
+    cheap = {name: F.col(name) for name in METRICS | LINES}
+    text = F.col(text_col)
+    some = sample(docs, SAMPLE_ROWS, scratch, text_col)
+    known = scratch.save(some.select("text", "words", "lines", *[v.alias(k) for k, v in _metrics(F.col).items()]))
+    ordered = order(measure(known, tuple(rules), cheap))
+    scratch.drop(some, known)
     base = F.coalesce(cascade(list(BASE), cheap).isNotNull(), F.lit(False))
-    rows = docs.select(F.col(id_col), *[v.alias(k) for k, v in _metrics(F.col(text_col)).items()])
-    return rows.select(id_col, *METRICS, base.alias("base_failed"), (~base & cascade(rules, cheap).isNull()).alias("kept"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), words(text).alias("words"), lines(text).alias("lines"))
+    rows = rows.select("id", *[v.alias(k) for k, v in _metrics(F.col).items()])
+    return rows.select(F.col("id").alias(id_col), *METRICS, base.alias("base_failed"), (~base & cascade(ordered, cheap).isNull()).alias("kept"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
