@@ -145,3 +145,39 @@ def test_every_graph_query_has_a_contract():
 
     assert {"deg_out", "nbr_filter_both", "mut_rollback"} <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_point_traversals_reach_the_files(spark):
+    """Anchors known by key are a filter of the scan, and nothing of the edge table is shuffled."""
+    from vertexloom.sources.tables import sales_graph
+
+    g = sales_graph(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (g.edges(("orders", 7), "contains", OUT), g.neighbourhoods(("orders", 7), "contains", OUT), g.degrees(("orders", 7), "contains", OUT), g.cell_types(("orders", 7), OUT, ["contains"])):
+        assert "EqualTo(l_orderkey,7)" in plan(df)
+    assert "Exchange" not in plan(g.edges(("orders", 7), "contains", OUT))
+    assert "In(l_orderkey, [7,8])" in plan(g.edges(("orders", [7, 8]), "contains", OUT))
+    assert g.edges(("orders", [7, 7]), "contains", OUT).count() == 2 * g.edges(("orders", 7), "contains", OUT).count()
+    assert g.edges(("orders", []), "contains", OUT).count() == 0
+
+
+def test_settings_open_a_graph(spark, tmp_path):
+    from vertexloom.sources.store import open_graph, save
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    options = options_from_text(f"storage: file://{tmp_path}/g\nspark:\n  sql.shuffle.partitions: 3\n")
+    assert open_graph(spark, options).snapshot.catalog.count() == 0 and spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    save(graph(spark, [(1, 2)], EdgeType.DIRECTED).snapshot, options["storage"])
+    assert degrees(open_graph(spark, {"storage": options["storage"]}), OUT)[1] == 1
+
+
+def test_overlapping_transactions(spark):
+    from vertexloom.plans.types import TransactionError
+
+    g = graph(spark, [(1, 2)], EdgeType.DIRECTED)
+    with pytest.raises(TransactionError), g.transaction() as late:
+        late.link(("p", 3), "e", ("p", 4))
+        with g.transaction() as first:
+            first.link(("p", 2), "e", ("p", 3))
+    assert degrees(g, OUT) == {1: 1, 2: 1, 3: 0, 4: 0}

@@ -16,6 +16,10 @@ from ..plans.types import Aborted, Direction, EdgeAttributes, GraphSchema, Kind,
 from . import mutate, traversal
 
 
+#: Keys of anchors that a filter holds; more are joined.
+FILTER_KEYS = 1000
+
+
 class VertexId(NamedTuple):
     schema: str
     key: object
@@ -43,17 +47,24 @@ class GraphView:
 
     def anchors(self, vertices) -> DataFrame:
         """(v_schema, v_key) of a Vertex, an id, a group's name, (group, [keys]) or a frame."""
-        spark, catalog = self.snapshot.spark, self.snapshot.catalog
         if isinstance(vertices, DataFrame):
             return vertices.select("v_schema", "v_key")
         if isinstance(vertices, str):
-            g = catalog.need(vertices, Kind.VERTEX)
+            g = self.snapshot.catalog.need(vertices, Kind.VERTEX)
             return self.snapshot.vertices[g.name].select(F.lit(g.name).alias("v_schema"), F.col(g.key).alias("v_key"))
+        return self._keys(vertices).frame(self.snapshot)
+
+    def _keys(self, vertices) -> traversal.Keys:
         name, keys = self.id_of(vertices)
-        g = catalog.need(name, Kind.VERTEX)
-        kind = self.snapshot.vertices[g.name].schema[g.key].dataType
-        rows = [(g.name, k) for k in (keys if isinstance(keys, list) else [keys])]
-        return spark.createDataFrame(rows, T.StructType([T.StructField("v_schema", T.StringType()), T.StructField("v_key", kind)]))
+        return traversal.Keys(self.snapshot.catalog.need(name, Kind.VERTEX).name, tuple(keys) if isinstance(keys, list) else (keys,))
+
+    def _anchors(self, vertices) -> DataFrame | traversal.Keys:
+        """``anchors``, but vertices named by key stay keys: so few that a filter can hold them, each once."""
+        if isinstance(vertices, (str, DataFrame)):
+            return self.anchors(vertices)
+        keys = self._keys(vertices)
+        plain = 0 < len(keys.keys) <= FILTER_KEYS and None not in keys.keys and len(set(keys.keys)) == len(keys.keys)
+        return keys if plain else keys.frame(self.snapshot)
 
     # schemas
     def new_vertex_group(self, schema: GraphSchema) -> int:
@@ -68,6 +79,15 @@ class GraphView:
         self._set(self.snapshot.with_catalog(catalog).with_edges(made.name, empty))
         return made.id
 
+    def group_schema(self, group) -> T.StructType | None:
+        """The columns that a group's own fields are stored in; None for an unknown group."""
+        found = self.snapshot.catalog.find(group)
+        return None if found is None else body_type(found)
+
+    def subscribe(self, tell: Callable[[str, GraphSchema], None]) -> None:
+        """``tell("added" or "deleted", group)`` from now on, whenever a group comes or goes."""
+        self._set(self.snapshot.with_catalog(self.snapshot.catalog.subscribe(tell)))
+
     def drop_group(self, group) -> None:
         name = self.snapshot.catalog.need(group).name
         self._set(self.snapshot.with_catalog(self.snapshot.catalog.drop(group)).without(name))
@@ -132,14 +152,14 @@ class GraphView:
         self._set(mutate.update_edges(self.snapshot, group, where, changes))
 
     # traversal
-    def _checked(self, vertices, strict: bool) -> DataFrame | None:
+    def _checked(self, vertices, strict: bool) -> DataFrame | traversal.Keys | None:
         if vertices is None:
             return None
         if strict and not isinstance(vertices, (str, DataFrame)):
             name, key = self.id_of(vertices)
             if not isinstance(key, list) and not mutate.has_vertex(self.snapshot, name, key):
                 raise NotFound(f"no vertex {key!r} in {name}")
-        return self.anchors(vertices)
+        return self._anchors(vertices)
 
     def edges(self, vertices, group, direction: Direction, where=None, strict: bool = False) -> DataFrame:
         return traversal.edges(self.snapshot, self._checked(vertices, strict), group, direction, where, strict)
@@ -148,7 +168,7 @@ class GraphView:
         return traversal.neighbourhoods(self.snapshot, self._checked(vertices, strict), group, direction, where, strict)
 
     def degrees(self, vertices, group, direction: Direction) -> DataFrame:
-        return traversal.degree(self.snapshot, self.anchors(vertices), group, direction)
+        return traversal.degree(self.snapshot, self._anchors(vertices), group, direction)
 
     def degree(self, vertex, group, direction: Direction) -> int:
         """The degree of one vertex, which must be there."""
@@ -157,7 +177,7 @@ class GraphView:
         return self.degrees(vertex, group, direction).first()["degree"]
 
     def cell_types(self, vertices, direction: Direction, groups: list | None = None) -> DataFrame:
-        return traversal.cell_types(self.snapshot, None if vertices is None else self.anchors(vertices), direction, groups)
+        return traversal.cell_types(self.snapshot, None if vertices is None else self._anchors(vertices), direction, groups)
 
 
 class Transaction(GraphView):
@@ -171,19 +191,26 @@ class Transaction(GraphView):
 
 
 class Graph(GraphView):
-    """A graph over a Spark session. One driver changes it, one transaction after the other."""
+    """A graph over a Spark session, changed by one driver.
+
+    Of transactions that overlap the first to commit wins: the others find their base changed
+    and raise, so that none overwrites what it hasn't seen.
+    """
 
     def __init__(self, spark: SparkSession, snapshot: Snapshot | None = None):
         self.snapshot = snapshot or Snapshot(spark, Catalog())
 
     @contextmanager
     def transaction(self) -> Iterator[Transaction]:
-        """Commits when the block ends; any error keeps the graph as it was. Aborts raise TransactionError."""
-        txn = Transaction(self.snapshot)
+        """Commits when the block ends; any error keeps the graph as it was. Aborts and conflicts raise TransactionError."""
+        base = self.snapshot
+        txn = Transaction(base)
         try:
             yield txn
         except Aborted as e:
             raise TransactionError(str(e)) from e
+        if self.snapshot is not base:
+            raise TransactionError("the graph has changed since the transaction began")
         self.snapshot = txn.snapshot
 
     def graph_transaction(self, body: Callable[[Transaction], object]) -> object:

@@ -8,15 +8,30 @@ are a bag.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.filters import Cell, compile_filter
 from ..plans.snapshot import Snapshot, body_type
 from ..plans.types import EDGE_ENDS, Direction, EdgeType, GraphSchema, IntegrityError, Kind, SchemaError
 
 
+class Keys(NamedTuple):
+    """Anchors that are known by key: they become a filter, which reaches the files of the edges."""
+
+    schema: str
+    keys: tuple
+
+    def frame(self, snapshot: Snapshot) -> DataFrame:
+        group = snapshot.catalog.need(self.schema, Kind.VERTEX)
+        kind = snapshot.vertices[group.name].schema[group.key].dataType
+        rows = [(group.name, k) for k in self.keys]
+        return snapshot.spark.createDataFrame(rows, T.StructType([T.StructField("v_schema", T.StringType()), T.StructField("v_key", kind)]))
+
+
 def _edge_struct(group: GraphSchema, df: DataFrame) -> tuple[Column, list[str]]:
     """The body with its hidden ends, or null for an edge without a body."""
     if not group.edge.has_body:
@@ -62,14 +77,17 @@ def _edge_group(snapshot: Snapshot, group, strict: bool) -> GraphSchema | None:
     return found
 
 
-def _join_anchors(rows: DataFrame, anchors: DataFrame | None) -> DataFrame:
+def _join_anchors(rows: DataFrame, anchors: DataFrame | Keys | None) -> DataFrame:
     if anchors is None:
         return rows
+    if isinstance(anchors, Keys):
+        key = F.col("v_key") == F.lit(anchors.keys[0]) if len(anchors.keys) == 1 else F.col("v_key").isin(*anchors.keys)
+        return rows.where((F.col("v_schema") == F.lit(anchors.schema)) & key)
     keys = anchors.select(F.col("v_schema").alias("_schema"), F.col("v_key").alias("_key"))
     return rows.join(keys, (F.col("v_schema") == F.col("_schema")) & (F.col("v_key") == F.col("_key"))).drop("_schema", "_key")
 
 
-def edges(snapshot: Snapshot, anchors: DataFrame | None, group, direction: Direction, where=None, strict: bool = False) -> DataFrame:
+def edges(snapshot: Snapshot, anchors: DataFrame | Keys | None, group, direction: Direction, where=None, strict: bool = False) -> DataFrame:
     """The edges of every anchor (v_schema, v_key); of all vertices when ``anchors`` is None.
 
     An unknown group has no edges unless ``strict``. The filter sees ``edge`` only.
@@ -94,7 +112,7 @@ def vertex_frame(snapshot: Snapshot, groups: list[str]) -> tuple[DataFrame, list
     return all_rows.select("_o_schema", "_o_key", F.struct(*[F.col(f"f_{c}").alias(c) for c in names]).alias("vertex")), names
 
 
-def neighbourhoods(snapshot: Snapshot, anchors: DataFrame | None, group, direction: Direction, where=None, strict: bool = False) -> DataFrame:
+def neighbourhoods(snapshot: Snapshot, anchors: DataFrame | Keys | None, group, direction: Direction, where=None, strict: bool = False) -> DataFrame:
     """``edges`` with the vertex at the other end, which is what the filter's ``vertex`` means.
 
     A pointer to a vertex that isn't there drops its row, or raises when ``strict``.
@@ -120,14 +138,17 @@ def neighbourhoods(snapshot: Snapshot, anchors: DataFrame | None, group, directi
     return rows.join(right, on).drop("_o_schema", "_o_key").where(keep)
 
 
-def degree(snapshot: Snapshot, anchors: DataFrame, group, direction: Direction) -> DataFrame:
+def degree(snapshot: Snapshot, anchors: DataFrame | Keys, group, direction: Direction) -> DataFrame:
     """(v_schema, v_key, degree) of every anchor; 0 for one without edges.
 
-    The incidence is counted before it meets the anchors, so a vertex of very many edges is
-    summed where its edges lie. The group must be one of edges.
+    The incidence is counted before it meets a frame of anchors, so a vertex of very many edges
+    is summed where its edges lie; of anchors known by key only their own edges are counted.
+    The group must be one of edges.
     """
     found = snapshot.catalog.need(group, Kind.EDGE)
     rows, _ = incidence(snapshot, found, direction)
+    if isinstance(anchors, Keys):
+        rows, anchors = _join_anchors(rows, anchors), anchors.frame(snapshot)
     counts = rows.groupBy(F.col("v_schema").alias("_schema"), F.col("v_key").alias("_key")).agg(F.count("o_key").alias("n"))
     both = anchors.join(counts, (F.col("v_schema") == F.col("_schema")) & (F.col("v_key") == F.col("_key")), "left")
     return both.select("v_schema", "v_key", F.coalesce("n", F.lit(0).cast("long")).alias("degree"))
@@ -140,13 +161,18 @@ def opposite(rows: DataFrame) -> Column:
     return F.when(is_a, F.col("b_key")).when(is_b, F.col("a_key"))
 
 
-def cell_types(snapshot: Snapshot, anchors: DataFrame | None, direction: Direction, groups: list | None = None) -> DataFrame:
-    """(v_schema, v_key, direction, edge_schema): the groups in which an anchor has edges."""
+def cell_types(snapshot: Snapshot, anchors: DataFrame | Keys | None, direction: Direction, groups: list | None = None) -> DataFrame:
+    """(v_schema, v_key, direction, edge_schema): the groups in which an anchor has edges.
+
+    Anchors known by key only read their own edges. A frame of anchors meets the vertices that
+    have edges, each once; an anchor that repeats is listed once.
+    """
     out = None
     for g in snapshot.catalog.groups if groups is None else [snapshot.catalog.need(g, Kind.EDGE) for g in groups]:
         if g.kind is not Kind.EDGE or (g.edge.edge_type is EdgeType.UNDIRECTED) != (direction is Direction.UNDIRECTED):
             continue
-        rows = _join_anchors(incidence(snapshot, g, direction)[0].select("v_schema", "v_key").distinct(), anchors)
+        rows = incidence(snapshot, g, direction)[0].select("v_schema", "v_key")
+        rows = _join_anchors(rows, anchors).distinct() if isinstance(anchors, Keys) else _join_anchors(rows.distinct(), anchors)
         rows = rows.select("v_schema", "v_key", F.lit(direction.value).alias("direction"), F.lit(g.name).alias("edge_schema"))
         out = rows if out is None else out.unionAll(rows)
     if out is None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.symbols import execute
 from .operators.graph import Graph
 from .operators.traversal import opposite
-from .plans.types import Aborted, Direction, EdgeType, TransactionError
+from .plans.types import Aborted, Direction, EdgeAttributes, EdgeType, Field, GraphSchema, TransactionError
 from .sources.tables import bind_edges, bind_vertices, sales_graph
 
 OUT, IN, BOTH = Direction.OUTBOUND, Direction.INBOUND, Direction.UNDIRECTED
@@ -299,6 +299,119 @@ def form_update_edge(g):
     return _ends(g.edges(("orders", 7), "contains", OUT), *_edge("l_linenumber", "l_returnflag"))
 
 
+@query
+def form_insert_edge(g):
+    execute(g, '(insert-edge "contains" (id "orders" 7) (id "part" 5) (hashmap l_linenumber 99))')
+    return _ends(g.edges(("orders", 7), "contains", OUT), *_edge("l_linenumber"))
+
+
+@query
+def form_delete_edge(g):
+    part = g.edges(("orders", 7), "contains", OUT).agg(F.min("o_key")).first()[0]
+    execute(g, f'(delete-edge "contains" (id "orders" 7) (id "part" {part}))')
+    return _key(g.degrees("orders", "contains", OUT), "degree")
+
+
+@query
+def form_update_vertex(g):
+    execute(g, '(update-vertex "customer" 42 (hashmap c_mktsegment "UPDATED"))')
+    return g.vertices("customer").select("c_custkey", "c_mktsegment")
+
+
+@query
+def form_insert_cell(g):
+    execute(g, '(insert-cell "part" (hashmap p_partkey 900000001 p_name "new part"))')
+    return g.vertices("part").select("p_partkey", "p_name")
+
+
+@query
+def form_select_cell(g):
+    return execute(g, '(select-cell "part" (hashmap p_type "PROMO" p_size 45))').select("p_partkey", "p_brand")
+
+
+@query
+def form_delete_cell(g):
+    execute(g, '(delete-cell "part" 5)')
+    return _key(g.degrees("orders", "contains", OUT), "degree")
+
+
+@query
+def deg_one(g):
+    return _key(g.degrees(("orders", [7, 8, 999999999]), "contains", OUT), "degree")
+
+
+@query
+def cell_types_one(g):
+    return g.cell_types(("customer", 42), OUT).select(F.col("v_key").alias("id"), "direction", "edge_schema")
+
+
+@query
+def txn_get_vertex(g):
+    with g.transaction() as txn:
+        found = txn.vertex_by_key("customer", 42)
+        txn.update_vertex_by_key("customer", 43, lambda v: v | {"c_mktsegment": found["c_mktsegment"]})
+    return g.vertices("customer").select("c_custkey", "c_mktsegment")
+
+
+@query
+def txn_conflict(g):
+    """Two transactions on one base: the second is refused, the first one's change stays."""
+    try:
+        with g.transaction() as late:
+            late.update_vertex_by_key("customer", 42, lambda v: v | {"c_mktsegment": "LATE"})
+            with g.transaction() as first:
+                first.update_vertex_by_key("customer", 42, lambda v: v | {"c_mktsegment": "FIRST"})
+    except TransactionError:
+        pass
+    return g.vertices("customer").select("c_custkey", "c_mktsegment")
+
+
+def _catalog_rows(g: Graph, rows: list[tuple], kind: str) -> DataFrame:
+    return g.snapshot.spark.createDataFrame(rows, kind)
+
+
+@query
+def catalog_lookup(g):
+    """Names, ids and kinds of groups found by name, by id and by schema; unknown ones too."""
+    c = g.snapshot.catalog
+    found = [*c.groups, *[c.find(x.id) for x in c.groups]]
+    kind = lambda x: c.schema_type(x).value if c.schema_type(x) else None
+    return _catalog_rows(g, [(x.name, c.id_of(x.name), kind(x.id)) for x in found] + [("nothing", c.id_of("nothing"), kind("nothing"))], "name string, id int, kind string")
+
+
+@query
+def catalog_fields(g):
+    """The cells' fields: hidden ones first, then those declared."""
+    c = g.snapshot.catalog
+    return _catalog_rows(g, [(n, i, f) for n in ("region", "in_region", "contains", "traded") for i, f in enumerate(c.cell_fields(n))], "name string, place int, field string")
+
+
+@query
+def catalog_schema(g):
+    """The columns of groups, and none for an unknown one."""
+    rows = [(n, f.name, f.dataType.simpleString()) for n in ("nation", "placed") for f in g.group_schema(n)]
+    return _catalog_rows(g, rows + [("nothing", str(g.group_schema("nothing")), None)], "name string, field string, type string")
+
+
+@query
+def catalog_changes(g):
+    """Groups of either kind come, one goes, and subscribers are told; the rest is as before."""
+    told = []
+    g.subscribe(lambda what, schema: told.append((what, schema.name, schema.id)))
+    g.new_vertex_group(GraphSchema("place", "name", (Field("name"),)))
+    g.new_edge_group(GraphSchema("near", None, (Field("metres", "u32"),)), EdgeAttributes(EdgeType.UNDIRECTED, True))
+    g.drop_group("performed")
+    left = g.snapshot.catalog
+    return _catalog_rows(g, [*told, ("count", "groups", left.count()), ("id_of", "performed", left.id_of("performed"))], "what string, name string, id int")
+
+
+@query
+def catalog_saved(g):
+    """The catalog after a way through its JSON text."""
+    c = g.snapshot.catalog
+    return type(c).from_json(c.to_json()).frame(g.snapshot.spark).select("id", "name", "kind", "edge_type", "has_body")
+
+
 ORACLE_SQL: dict[str, str] = {
     "v_by_key": """
         SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey = 42""",
@@ -381,7 +494,52 @@ ORACLE_SQL: dict[str, str] = {
         SELECT l_orderkey AS src_key, l_partkey AS dst_key, l_linenumber, CASE WHEN l_partkey = 5 THEN 'X' ELSE l_returnflag END AS l_returnflag
         FROM lineitem WHERE l_orderkey = 7""",
 }
+#: The groups of the sales graph in order of their ids.
+_GROUPS = """(VALUES (1, 'region', 'vertex', NULL, NULL, 'r_regionkey', ['r_regionkey', 'r_name'], false),
+    (2, 'nation', 'vertex', NULL, NULL, 'n_nationkey', ['n_nationkey', 'n_name', 'n_regionkey'], false),
+    (3, 'customer', 'vertex', NULL, NULL, 'c_custkey', ['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'], false),
+    (4, 'supplier', 'vertex', NULL, NULL, 's_suppkey', ['s_suppkey', 's_name', 's_nationkey', 's_acctbal'], false),
+    (5, 'part', 'vertex', NULL, NULL, 'p_partkey', ['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice'], false),
+    (6, 'orders', 'vertex', NULL, NULL, 'o_orderkey', ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'], false),
+    (7, 'event_type', 'vertex', NULL, NULL, 'event_type', ['event_type'], false),
+    (8, 'in_region', 'edge', 'directed', false, NULL, [], false), (9, 'lives_in', 'edge', 'directed', false, NULL, [], false),
+    (10, 'based_in', 'edge', 'directed', false, NULL, [], false), (11, 'placed', 'edge', 'directed', false, NULL, [], false),
+    (12, 'contains', 'edge', 'directed', true, NULL, ['l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'l_shipdate'], false),
+    (13, 'traded', 'edge', 'undirected', true, NULL, ['l_orderkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'l_shipdate'], false),
+    (14, 'supplies', 'edge', 'undirected', false, NULL, [], false), (15, 'neighbour', 'edge', 'undirected', false, NULL, [], false),
+    (16, 'performed', 'edge', 'directed', true, NULL, ['event_id', 'ts', 'value'], true)) t(id, name, kind, edge_type, has_body, key_field, fields, is_dynamic)"""
 ORACLE_SQL |= {
+    "catalog_groups": f"SELECT id, name, kind, edge_type, has_body, key_field, CAST(fields AS VARCHAR[]) AS fields, is_dynamic FROM {_GROUPS}",
+    "catalog_saved": f"SELECT id, name, kind, edge_type, has_body FROM {_GROUPS}",
+    "catalog_lookup": f"SELECT name, id, kind FROM {_GROUPS} UNION ALL SELECT name, id, kind FROM {_GROUPS} UNION ALL SELECT 'nothing', 0, NULL",
+    "catalog_fields": f"""
+        WITH h AS (SELECT name, CASE WHEN kind = 'vertex' THEN ['_outbound', '_inbound', '_undirected'] WHEN NOT has_body THEN []
+            WHEN edge_type = 'directed' THEN ['_inbound', '_outbound'] ELSE ['_vertex_a', '_vertex_b'] END || fields AS f
+            FROM {_GROUPS} WHERE name IN ('region', 'in_region', 'contains', 'traded'))
+        SELECT name, CAST(i - 1 AS INTEGER) AS place, f[i] AS field FROM (SELECT name, f, unnest(range(1, len(f) + 1)) AS i FROM h)""",
+    "catalog_schema": """
+        SELECT * FROM (VALUES ('nation', 'n_nationkey', 'int'), ('nation', 'n_name', 'string'), ('nation', 'n_regionkey', 'int'), ('nothing', 'None', NULL)) t(name, field, type)""",
+    "catalog_changes": """
+        SELECT * FROM (VALUES ('added', 'place', 17), ('added', 'near', 18), ('deleted', 'performed', 16), ('count', 'groups', 17), ('id_of', 'performed', 0)) t(what, name, id)""",
+    "deg_one": """
+        SELECT k AS id, count(l_orderkey) AS degree FROM (VALUES (7::BIGINT), (8), (999999999)) v(k) LEFT JOIN lineitem ON l_orderkey = k GROUP BY k""",
+    "cell_types_one": """
+        SELECT DISTINCT o_custkey AS id, 'outbound' AS direction, 'placed' AS edge_schema FROM orders WHERE o_custkey = 42
+        UNION ALL SELECT c_custkey, 'outbound', 'lives_in' FROM customer WHERE c_custkey = 42
+        UNION ALL SELECT DISTINCT user_id, 'outbound', 'performed' FROM events WHERE user_id = 42""",
+    "txn_get_vertex": """
+        SELECT c_custkey, CASE WHEN c_custkey = 43 THEN (SELECT c_mktsegment FROM customer WHERE c_custkey = 42) ELSE c_mktsegment END AS c_mktsegment FROM customer""",
+    "txn_conflict": """
+        SELECT c_custkey, CASE WHEN c_custkey = 42 THEN 'FIRST' ELSE c_mktsegment END AS c_mktsegment FROM customer""",
+    "form_insert_edge": """
+        SELECT l_orderkey AS src_key, l_partkey AS dst_key, l_linenumber FROM lineitem WHERE l_orderkey = 7 UNION ALL SELECT 7, 5, 99""",
+    "form_delete_edge": """
+        SELECT o_orderkey AS id, count(l_orderkey) - CASE WHEN o_orderkey = 7 THEN 1 ELSE 0 END AS degree FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
+    "form_select_cell": """
+        SELECT p_partkey, p_brand FROM part WHERE p_type = 'PROMO' AND p_size = 45""",
+    "form_update_vertex": ORACLE_SQL["mut_update"],
+    "form_insert_cell": ORACLE_SQL["mut_new_vertex"],
+    "form_delete_cell": ORACLE_SQL["mut_remove_vertex"],
     "form_select_vertex": ORACLE_SQL["v_filter"],
     "form_insert_vertex": ORACLE_SQL["mut_new_vertex"],
     "form_update_cell": ORACLE_SQL["mut_update"],

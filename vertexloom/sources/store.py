@@ -6,11 +6,12 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.graph import Graph
 from ..plans.catalog import Catalog
 from ..plans.snapshot import Snapshot
 
 
-def save(snapshot: Snapshot, path: str, bucket_bytes: int | None = None) -> None:
+def save(snapshot: Snapshot, path: str) -> None:
     """The catalog as JSON text and a Parquet table for each group, in a new folder."""
     spark = snapshot.spark
     ends = {k: [sorted(a), sorted(b)] for k, (a, b) in snapshot.ends.items()}
@@ -71,6 +72,22 @@ def _bytes(options: dict) -> None:
             options[k] = v * 1024 * 1024
 
 
+def open_graph(spark: SparkSession, options: dict) -> Graph:
+    """A graph as settings describe it: ``storage`` is the folder of a saved graph, if there is one.
+
+    ``spark`` holds settings of the session (``sql.shuffle.partitions: 200``), put in place
+    first. Without ``storage``, or where that folder has no graph yet, the graph is empty.
+    """
+    for name, value in (options.get("spark") or {}).items():
+        spark.conf.set(f"spark.{name}", str(value).lower() if isinstance(value, bool) else value)
+    path = options.get("storage")
+    if path:
+        head = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/catalog")
+        if head.getFileSystem(spark._jsc.hadoopConfiguration()).exists(head):
+            return Graph(spark, load(spark, path))
+    return Graph(spark)
+
+
 def options_from_file(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return options_from_text(f.read())
