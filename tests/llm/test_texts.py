@@ -63,6 +63,51 @@ def test_repeated_text_beside_unique_children(spark):
     assert got == {i: f"unique article {i} x{i * i}" for i in range(30)} | {100 + i: f"unique text {i} y{i * i}" for i in range(30)}
 
 
+def test_class_names_of_noise():
+    page = "<article><p class='social-science'>a</p><section class='related-work'><p>b</p></section><div id=ad-hoc>c</div><div class='site-footer'>d</div><p class='ad-slot-1'>e</p><div class='x related-posts'>f</div></article>"
+    assert html.main_text(page) == "a\nb\nc"
+
+
+def test_bad_pages_take_linear_time():
+    import time
+    import tracemalloc
+
+    for page in ("<a " * 350_000, "<div>" * 100_000 + "x", "<b><div>" * 40_000 + "</b>" * 40_000, "<b>" * 50_000 + "<hr>x" * 50_000, "</p>" * 200_000, '<a "' * 100_000 + ">", "<p><li>" * 50_000, "<svg><div/>" * 50_000, "<!-" * 200_000):
+        began = time.process_time()
+        html.blocks(page)
+        assert time.process_time() - began < 5, page[:20]
+    tracemalloc.start()
+    layout = {}
+    html.blocks("<div class=a>" * 100_000 + "x", layout)
+    assert len(layout) == 100_000 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_tree_against_brute_force(spark):
+    """The tree of a small table, counted page by page, and what it removes inside of articles."""
+    from math import log
+
+    rows = [(i, f"http://a.net/{i}", f"<div class=abc>same links</div><article><p>story {i}</p><div class=bar>Tell your friends</div></article><div class=box>teaser {i}</div>", "x") for i in range(30)]
+    rows += [(100 + i, "http://b.net/", f"<div class=ad>ad {i}</div><article><p>one article</p></article>", "x") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, page string")
+    tree = {}
+    for _, url, page, _ in rows:
+        found = html.blocks(page)
+        for path, prior, _ in found:
+            said = "\n".join(t for p, q, t in found if (p, q) == (path, prior))
+            whole = "\n".join(t for _, q, t in found if q == prior)
+            tree.setdefault((url.split("/")[2], path, prior), {}).setdefault(said, set()).add(whole)
+    want = {}
+    for key, said in tree.items():
+        n = [len(w) for w in said.values()]
+        m = sum(n)
+        want[key] = (m, round(-sum(x / m * log(x / m) for x in n) / log(m), 9) if m > 1 else 0.5)
+    got = {(r["host"], r["path"], r["prior"]): (r["pages"], round(r["content"], 9) + 0.0) for r in html.style_tree(html.branches(pages, "url", "html")).where("content IS NOT NULL").collect()}
+    assert got == want and len(want) == 5
+    texts = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert texts[3] == "story 3\nteaser 3" and texts[103] == "one article"
+
+
 def test_pages_of_the_test_data(spark):
     for r in html.op1_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").drop("url"), "page_id").collect():
         assert r["n_chars"] == len(r["text"]) and "<" not in r["text"].replace("<p", "") and r["text"]

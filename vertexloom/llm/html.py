@@ -1,17 +1,18 @@
 """Main text of web pages by a site style tree.
 
-Every page is parsed into a tree of elements; a page's blocks of text hang on style paths (the
-tags and classes from the body down). All pages of a host are merged by style path: for each
-path the tree keeps how many pages have it, how its elements differ between pages (presentation)
-and how its texts differ (content). Importance is the entropy of either, over the logarithm of
-the number of pages that have the path: text that is the same on every page has none, text that
-is new on every page has all. Branches of low importance are removed from each page.
+Every page is parsed into blocks of text that hang on style paths (the tags and classes from the
+body down). All pages of a host that differ are merged by style path: for each path the tree
+keeps how many pages have it, how its children are laid out (presentation) and what its texts
+say (content). The importance of a branch that holds text is the entropy of its texts, that of
+one that only holds other branches the entropy of its layouts, each over the logarithm of the
+number of pages that have the path: what is the same on every page has none, what is new on
+every page has all. Branches of low importance are removed from each page.
 
 A host with few pages proves little, so the evidence is weighed against what the tags say:
-``nav``, ``footer``, ``aside``, forms and elements whose class or role names them as adverts,
-menus, notices or comments have prior importance 0, ``article`` and ``main`` 1, all else a half,
-or a quarter beside a main element.
-Branches with a prior of 0 or 1 are decided at once, so repeated articles are never lost.
+``article`` and ``main`` have prior importance 1, all else a half, or a quarter beside a main
+element. What the tags or whole class names call menus, footers, adverts, notices, forms or
+comments has none and goes without evidence. A page that a host repeats counts once, so a
+repeated article stays.
 """
 
 from __future__ import annotations
@@ -32,10 +33,9 @@ from .urls import host_of
 PRIOR_PAGES = 8
 #: Branches below this importance are removed.
 LEAST_IMPORTANCE = 0.4
-#: Hosts' removed branches are broadcast up to so many, else joined by shuffle.
-BROADCAST_BRANCHES = 50_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"[^\s/>]*")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
@@ -51,23 +51,89 @@ INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del df
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 NOISE_TAGS = frozenset("nav footer header aside form menu dialog head object svg select optgroup option button canvas annotation annotation-xml".split()) | RAW
 NOISE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar "
-    "footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments "
-    "disqus replies respond share sharing social related recommended pagination pager toolbar widget skip".split()
+    "ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promos menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars "
+    "footer masthead cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe signup login comment comments "
+    "disqus replies respond share sharing social related recommended pagination pager toolbar widget widgets skip".split()
+)
+#: Words that a class name of noise may have besides: ``site-footer``, ``ad-slot``, ``related-posts``.
+AROUND_NOISE = frozenset(
+    "site page main top bottom left right upper lower header global primary secondary mobile desktop sticky fixed inner outer box container wrapper wrap area section block list item items "
+    "bar slot unit zone panel links link buttons button icons form thread posts post articles stories content text message dialog row col column group holder".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 MAIN_TAGS = frozenset(("article", "main"))
 
 
 class Block:
-    """A block of text: its style path, whether the tags decide it, its pieces."""
+    """A block of text: its style path, what the tags say of it, its pieces."""
 
     __slots__ = ("path", "prior", "pieces")
 
-    def __init__(self, path: str, prior: int):
+    def __init__(self, path: int, prior: int):
         self.path, self.prior, self.pieces = path, prior, []
 
 
+class Element:
+    """An open element; ``block`` is the place in the stack of the nearest one that isn't inline."""
+
+    __slots__ = ("tag", "path", "prior", "block")
+
+    def __init__(self, tag: str, path: int, prior: int, block: int):
+        self.tag, self.path, self.prior, self.block = tag, path, prior, block
+
+
+def _is_noise(names: str) -> bool:
+    """Whether one of the class names or ids is a name of noise, alone or among words that say where."""
+    for name in names.split():
+        parts = [p for p in _WORDS.findall(name)]
+        if any(p in NOISE_NAMES for p in parts) and all(p in NOISE_NAMES or p in AROUND_NOISE for p in parts):
+            return True
+    return False
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of every tag; a comment or declaration has no name.
+
+    One pass: a ``>`` in quotes doesn't end a tag, unless the quotes or the tag are never closed.
+    A tag that the page's end cuts off has everything after it.
+    """
+    at, size, last = 0, len(page), page.rfind(">")
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = end
+            continue
+        closing = page.startswith("/", at + 1)
+        begin = at + 1 + closing
+        letter = page[begin : begin + 1]
+        if not (letter.isascii() and letter.isalpha()):
+            if letter in ("!", "?") and not closing:
+                end = page.find(">", begin)
+                end = size if end < 0 else end + 1
+                yield at, end, "", False, ""
+                at = end
+            else:
+                at += 1
+            continue
+        if at > last:
+            yield at, size, "", False, ""
+            return
+        name = _NAME.match(page, begin).end()
+        end = name
+        while m := _QUOTE_OR_END.search(page, end):
+            if m.group() == ">":
+                break
+            end = page.find(m.group(), m.end()) + 1
+            if not end:
+                m = None
+                break
+        stop = m.start() if m else page.find(">", name)
+        at_next = yield at, stop + 1, page[begin:name].lower(), closing, page[name:stop]
+        at = stop + 1 if at_next is None else at_next
+
+
 def _prior(tag: str, attributes: str, inherited: int) -> int:
     """0: noise, 1: main text, 2: open. Noise inside main text is noise, and stays it."""
     if inherited == 0:
@@ -79,8 +145,7 @@ def _prior(tag: str, attributes: str, inherited: int) -> int:
         found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
         if found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
             return 0
-        names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-        if tag not in ("body", "html") and not (tag in MAIN_TAGS and inherited == 2) and NOISE_NAMES & set(_WORDS.findall(names)):
+        if tag not in ("body", "html") and not (tag in MAIN_TAGS and inherited == 2) and _is_noise(f"{found.get('class', '')} {found.get('id', '')}".lower()):
             return 0
         if found.get("role", "").lower() == "main":
             return 1
@@ -94,153 +159,175 @@ def _style(tag: str, attributes: str) -> str:
     return tag
 
 
-def blocks(page: str | None) -> list[tuple[str, int, str]]:
+def _step(path: int, style: str) -> int:
+    """The name of a style path one element longer: paths of any depth take eight bytes."""
+    return xxhash.xxh3_64_intdigest(style, seed=path & 0xFFFFFFFFFFFFFFFF) >> 1
+
+
+def blocks(page: str | None, layout: dict[int, list[int]] | None = None) -> list[tuple[int, int, str]]:
     """(style path, prior, text) of every block of text that the tags don't call noise.
 
-    The path of an open block starts with ``+`` on a page that also has a main element: it lies
-    beside the main text. White space inside a block becomes one space, references are decoded, empty blocks go.
-    Unclosed and stray tags are borne; whatever lies in a raw element (script, style, ...) goes,
-    and so do drawings, buttons and options; a formula's text stays.
+    Prior 1 is main text, 2 is open, 3 open on a page that also has a main element: it lies
+    beside the main text. White space inside a block becomes one space, references are decoded,
+    empty blocks go. Unclosed and stray tags are borne; whatever lies in a raw element (script,
+    style, ...) goes, and so do drawings, buttons and options; a formula's text stays. The work
+    grows with the page's length, whatever its nesting. ``layout`` gets, for each style path, the
+    styles of its children as they come.
     """
     if not page:
         return []
     out: list[Block] = []
-    # open elements: (tag, style path, prior)
-    stack: list[tuple[str, str, int]] = [("", "", 2)]
+    stack = [Element("", 0, 2, 0)]
+    opened: dict[str, list[int]] = {}  # the places of the open elements of a tag
     current: Block | None = None
-    at, size = 0, len(page)
+    at = 0
 
     def write(text: str) -> None:
         nonlocal current
-        _, path, prior = stack[-1]
-        if not text or prior == 0:
+        top = stack[-1]
+        if not text or top.prior == 0:
             return
         if current is None:
             if text.isspace():
                 return
-            k = len(stack) - 1
-            while k and stack[k][0] in INLINE:
-                k -= 1
-            current = Block(stack[k][1], prior)
+            current = Block(stack[top.block].path, top.prior)
             out.append(current)
         current.pieces.append(text)
 
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!]", rest)  # a tag that the end of the page cuts off
-            write(rest[: cut.start()] if cut else rest)
-            break
-        write(page[at : m.start()])
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if any(t not in INLINE for t, _, _ in stack[k:]):
-                        current = None
-                    # an inline end tag doesn't close blocks around it
-                    if tag in INLINE and any(t not in INLINE for t, _, _ in stack[k + 1 :]):
-                        break
-                    if stack[k][2] == 0 and stack[k - 1][2] != 0 and tag not in INLINE:
+    def cut_to(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.tag].pop()
+        del stack[k:]
+
+    def nearest(tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
+    tags = _tags(page)
+    found = next(tags, None)
+    while found:
+        start, end, tag, closing, attributes = found
+        jump = None
+        write(page[at:start])
+        at = end
+        if not tag:
+            pass
+        elif closing:
+            k = nearest((tag,))
+            if k:
+                blocks_within = stack[-1].block > k or (tag not in INLINE)
+                if tag in INLINE and stack[-1].block > k:
+                    current = None  # an inline end tag doesn't close blocks around it
+                else:
+                    if blocks_within:
                         current = None
-                    del stack[k:]
-                    break
-            continue
-        if m.group(3).endswith("/") and (tag in CLOSES_ITSELF or any(t in ("svg", "math") for t, _, _ in stack)):
+                    cut_to(k)
+        elif attributes.endswith("/") and (tag in CLOSES_ITSELF or opened.get("svg") or opened.get("math")):
             current = current if tag in INLINE else None
-            continue
-        if tag == "br":
+        elif tag == "br":
             write(" ")
-            continue
-        if tag not in INLINE:
-            current = None
-            if tag in CLOSES_P:
-                # a block ends a drawing, a formula or an option that was left open
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ("foreignobject", "annotation-xml"):
-                        break
-                    if stack[k][0] in ("svg", "math"):
-                        del stack[k:]
-                        break
-                while stack[-1][0] in ("option", "optgroup") and not any(t == "select" for t, _, _ in stack):
-                    stack.pop()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag or tag in ("dt", "dd") and stack[k][0] in ("dt", "dd"):
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "tr", "select", "datalist") and tag != "tr":
-                        break
-        if tag in VOID:
-            continue
-        attributes = m.group(3)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
-        _, path, prior = stack[-1]
-        stack.append((tag, path if tag in INLINE or tag in ("html", "body") else f"{path}/{_style(tag, attributes)}", _prior(tag, attributes, prior)))
-    beside = "+" if any(b.prior == 1 for b in out) else ""
-    found = []
+        else:
+            if tag not in INLINE:
+                current = None
+                if tag in CLOSES_P:
+                    # a block ends a drawing, a formula or an option that was left open
+                    k = nearest(("svg", "math"))
+                    if k and nearest(("foreignobject", "annotation-xml")) < k:
+                        cut_to(k)
+                    while stack[-1].tag in ("option", "optgroup") and not opened.get("select"):
+                        cut_to(len(stack) - 1)
+                    if opened.get("p") and stack[stack[-1].block].tag == "p":
+                        cut_to(stack[-1].block)
+                if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                    k = nearest(("dt", "dd") if tag in ("dt", "dd") else (tag,))
+                    if k and (tag == "tr" or nearest(("ul", "ol", "dl", "table", "tr", "select", "datalist")) < k):
+                        cut_to(k)
+            if tag in VOID:
+                pass
+            elif tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, end)
+                jump = at = close.end() if close else len(page)
+            else:
+                above = stack[-1]
+                path = above.path
+                if tag not in INLINE and tag not in ("html", "body"):
+                    path = _step(path, _style(tag, attributes))
+                    if layout is not None:
+                        layout.setdefault(above.path, []).append(path)
+                stack.append(Element(tag, path, _prior(tag, attributes, above.prior), above.block if tag in INLINE else len(stack)))
+                opened.setdefault(tag, []).append(len(stack) - 1)
+        try:
+            found = next(tags) if jump is None else tags.send(jump)
+        except StopIteration:
+            found = None
+    write(page[at:])
+    beside = any(b.prior == 1 for b in out)
+    done = []
     for b in out:
         text = _SPACE.sub(" ", entities.unescape("".join(b.pieces))).strip()
         if text:
-            found.append((beside + b.path if b.prior == 2 else b.path, b.prior, text))
-    return found
+            done.append((b.path, 3 if b.prior == 2 and beside else b.prior, text))
+    return done
 
 
-def main_text(page: str | None, removed: frozenset[str] | set[str] = frozenset()) -> str:
-    """The page's text without the blocks on the paths in ``removed``, a line for each block."""
-    return "\n".join(text for path, prior, text in blocks(page) if prior == 1 or path not in removed)
+def main_text(page: str | None, odd: set[tuple[int, int]] | None = None) -> str:
+    """The page's text, a line for each block: all but those beside the main text.
+
+    ``odd`` has the (path, prior) of branches that the host's tree decides the other way. A page
+    without a tree (None) keeps what lies beside, too.
+    """
+    return "\n".join(text for path, prior, text in blocks(page) if odd is None or (prior != 3) != ((path, prior) in odd))
 
 
-def style_tree(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """Every host's open branches: (host, path, pages, presentation, content).
+#: Rows of branches that are sent on at once.
+BRANCH_ROWS = 20_000
 
-    ``presentation`` and ``content`` are the entropies of what a branch's children look like and
-    what its texts say, from counts over all of the host's pages, each in [0, 1].
+
+def branches(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(host, page, path, prior, said, value, whole): every page's branches, each once.
+
+    Where ``said``, ``value`` names what the branch's texts say, else how its children are laid
+    out. ``page`` is a hash of the html, ``whole`` of all the texts of the branch's prior.
     """
 
-    def branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = lambda x: xxhash.xxh3_64_intdigest(x) >> 1
+        columns = ["host", "page", "path", "prior", "said", "value", "whole"]
         for pdf in batches:
-            tally: dict[tuple, int] = {}
-            for host, page in zip(pdf["host"], pdf["html"], strict=True):
-                texts: dict[str, list[str]] = {}
-                shapes: dict[str, list[str]] = {}
-                for path, prior, text in blocks(page):
-                    if prior != 2:
-                        continue
-                    texts.setdefault(path, []).append(text)
-                    parts = path.split("/")
-                    for k in range(1, len(parts)):
-                        shapes.setdefault("/".join(parts[: k + 1]), []).append("/".join(parts[k + 1 : k + 2]))
-                for path, said in texts.items():
-                    key = (host, path, "content", xxhash.xxh3_64_intdigest("\n".join(said)) >> 1)
-                    tally[key] = tally.get(key, 0) + 1
-                for path, shape in shapes.items():
-                    key = (host, path, "presentation", xxhash.xxh3_64_intdigest("\n".join(shape)) >> 1)
-                    tally[key] = tally.get(key, 0) + 1
-            yield pd.DataFrame([(*k, n) for k, n in tally.items()], columns=["host", "path", "kind", "value", "n"])
-
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    counts = rows.mapInPandas(branches, "host string, path string, kind string, value long, n long")
-    counts = counts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+            out = []
+            for host, page, text_of in zip(pdf["host"], pdf["page"], pdf["html"], strict=True):
+                texts: dict[tuple[int, int], list[str]] = {}
+                layout: dict[int, list[int]] = {}
+                by_prior: dict[int, list[str]] = {}
+                for path, prior, text in blocks(text_of, layout):
+                    texts.setdefault((path, prior), []).append(text)
+                    by_prior.setdefault(prior, []).append(text)
+                whole = {prior: name("\n".join(said)) for prior, said in by_prior.items()}
+                held = {path for path, _ in texts}
+                out += [(host, page, path, prior, True, name("\n".join(said)), whole[prior]) for (path, prior), said in texts.items()]
+                out += [(host, page, path, 0, False, name(",".join(map(str, shape))), page) for path, shape in layout.items() if path not in held]
+                if len(out) >= BRANCH_ROWS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
+
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page"), F.col(html_col).alias("html"))
+    return rows.mapInPandas(run, "host string, page long, path long, prior int, said boolean, value long, whole long")
+
+
+def style_tree(seen: DataFrame) -> DataFrame:
+    """Every host's branches: (host, path, prior, pages, presentation, content), from ``branches``.
+
+    ``presentation`` and ``content`` are the entropies of how a branch's children are laid out
+    and of what its texts say, from counts over all of the host's different pages, each in
+    [0, 1]; a branch without texts of its own has no content, one with texts no presentation.
+    """
+    # pages that say the same count once
+    counts = seen.select("host", "path", "prior", "said", "value", "whole").distinct().groupBy("host", "path", "prior", "said", "value").agg(F.count("*").alias("n"))
     # entropy / log m = log m - sum(n log n) / m, over log m: sums that combine before the shuffle
-    sums = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    sums = counts.groupBy("host", "path", "prior", "said").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(F.lit(0.5))
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, entropy))
-    return sums.groupBy("host", "path").agg(F.max("m").alias("pages"), of("presentation").alias("presentation"), of("content").alias("content"))
+    return sums.select("host", "path", "prior", F.col("m").alias("pages"), F.when(~F.col("said"), entropy).alias("presentation"), F.when(F.col("said"), entropy).alias("content"))
 
 
 def importance() -> Column:
@@ -251,36 +338,37 @@ def importance() -> Column:
     """
     seen = F.coalesce(F.col("content"), F.col("presentation"))
     evidence = (F.col("pages") - 1) / (F.col("pages") - 1 + PRIOR_PAGES)
-    return evidence * seen + (1 - evidence) * F.when(F.startswith("path", F.lit("+")), 0.25).otherwise(0.5)
+    return evidence * seen + (1 - evidence) * F.when(F.col("prior") == 1, 1.0).when(F.col("prior") == 3, 0.25).otherwise(0.5)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST_IMPORTANCE) -> DataFrame:
     """One row per row of ``pages``: id, url, text, n_chars.
 
     Null and empty html gives an empty text. A null url, or one without ``://``, belongs to the
-    host without a name. Repeated rows each get a row. Other columns aren't read, so their names
-    cannot clash; an empty table gives an empty table.
+    host without a name. Repeated rows each get a row and count once in their host's tree. Pages
+    of any length and depth are read whole. Ties have no part in it. Other columns aren't read,
+    so their names cannot clash; an empty table gives an empty table.
     """
     scratch = Scratch(pages.sparkSession)
-    tree = style_tree(pages, url_col, html_col)
-    # a branch that only holds others is kept: they are judged one by one
-    low = scratch.save(tree.where(F.col("content").isNotNull() & (importance() < least)).groupBy("host").agg(F.collect_set("path").alias("removed")))
-    n = low.agg(F.count("*"), F.sum(F.size("removed"))).first()
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    if n[0]:
-        right = low.select(F.col("host").alias("low_host"), "removed")
-        right = F.broadcast(right) if n[1] <= BROADCAST_BRANCHES else right
-        rows = rows.join(right, F.col("host") == F.col("low_host"), "left")
+    seen = scratch.save(branches(pages, url_col, html_col))
+    # what lies beside a main element goes unless the tree finds it important, all else stays unless it doesn't;
+    # a branch that only holds others has no text of its own: they are judged one by one
+    odd = style_tree(seen).where(F.col("content").isNotNull() & ((importance() >= least) == (F.col("prior") == 3))).select("host", "path", "prior")
+    odd = scratch.save(odd)
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page"))
+    if odd.limit(1).count():
+        of_page = seen.where("said").join(scratch.small(odd), ["host", "path", "prior"]).groupBy("host", "page").agg(F.collect_set(F.struct("path", "prior")).alias("odd"))
+        rows = rows.join(scratch.small(scratch.save(of_page), "shuffle_hash"), ["host", "page"], "left")
     else:
-        rows = rows.withColumn("removed", F.lit(None).cast("array<string>"))
+        rows = rows.withColumn("odd", F.lit(None).cast("array<struct<path: bigint, prior: int>>"))
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [main_text(page, frozenset(r) if r is not None else frozenset()) for page, r in zip(pdf["html"], pdf["removed"], strict=True)]
+            got = [main_text(page, set() if r is None else {(x["path"], x["prior"]) for x in r}) for page, r in zip(pdf["html"], pdf["odd"], strict=True)]
             yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": got, "n_chars": [len(t) for t in got]})
 
     kind = dict(rows.dtypes)["id"]
-    out = rows.select("id", "url", "html", "removed").mapInPandas(texts, f"id {kind}, url string, text string, n_chars long")
+    out = rows.select("id", "url", "html", "odd").mapInPandas(texts, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
 
