@@ -75,12 +75,35 @@ def test_windows(spark):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in mixed.collect()) == [("3", "clean too"), ("None", "None"), ("None", "clean text")]
 
 
-def test_licence_lines(spark):
-    texts = [None, "", "a", "text\n  licensed under the apache license version 2 0\nReleased under the MIT License.", "Released under the\nMIT License", "Licensed under CC BY-NC 4.0.", "word " * 100_000]
-    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, texts)).collect()}
-    assert [got[i]["license"] for i in range(7)] == [None, None, None, "Apache-2.0", "MIT", "CC-BY-NC-4.0", None]
-    assert (got[3]["line"], got[3]["n_lines"], got[3]["licenses"]) == (2, 2, "Apache-2.0,MIT") and (got[4]["line"], got[4]["n_lines"]) == (0, 0)
-    assert licenses.scan(documents(spark, [])).count() == 0
+def brute_licences(text):
+    w = licenses._words(text or "")
+    grams, best, names = [f"{a} {b}" for a, b in zip(w, w[1:])], None, set()
+    for k, (name, notice) in enumerate(licenses.TEMPLATES):
+        of, size = set(licenses.template_bigrams(notice)), len(licenses._words(notice))
+        for i, g in enumerate(grams):
+            if g in of:
+                window = set(grams[i : i + size - 1])
+                score = 2 * len(window & of) / (len(window) + len(of))
+                if score >= licenses.THRESHOLD:
+                    names.add(name)
+                    best = max(best or (0,), (score, -k, -i))
+    return (licenses.TEMPLATES[-best[1]][0], best[0], -best[2], ",".join(sorted(names))) if best else (None, None, -1, "")
+
+
+def test_licences_against_brute_force(spark):
+    wrapped = lambda s, n: "\n".join(" ".join(s.split()[k : k + n]) for k in range(0, len(s.split()), n))
+    notice = dict((n, t) for n, t in reversed(licenses.TEMPLATES))
+    full = {n: max((t for m, t in licenses.TEMPLATES if m == n), key=len) for n in notice}
+    edited = full["MIT"].replace("Software", "Library")
+    texts = [None, "", "a", "the the the the", "text\n  licensed under the apache license version 2 0\nReleased under the MIT License.", "Released under the\nMIT License", "Licensed under CC BY-NC 4.0.", "word " * 100_000,
+             f"intro {full['MIT']} outro", wrapped(full["BSD-3-Clause"], 7), wrapped("before " * 30 + full["BSD-2-Clause"] + " after" * 30, 9), f"# x\n{wrapped(full['LGPL-3.0'], 11)}", edited,
+             wrapped(full["Apache-2.0"], 5) + "\nand more", full["MIT"][:400], full["ISC"] + "\n" + full["Zlib"], "one permission is hereby granted free of charge"] + [t for _, t in licenses.TEMPLATES]
+    got = {r["doc_id"]: (r["license"], r["score"], r["word"], r["licenses"]) for r in licenses.scan(documents(spark, texts)).collect()}
+    assert got == {i: brute_licences(t) for i, t in enumerate(texts)}
+    assert [got[i][0] for i in (4, 5, 6, 8, 9, 10, 11, 12, 13)] == ["Apache-2.0", "MIT", "CC-BY-NC-4.0", "MIT", "BSD-3-Clause", "BSD-2-Clause", "LGPL-3.0", "MIT", "Apache-2.0"]
+    assert got[15][3] == "ISC,Zlib" and all(got[i][0] is None for i in (0, 1, 2, 3, 7, 14, 16))
+    assert [got[17 + k][0] for k in range(len(licenses.TEMPLATES))] == [n for n, _ in licenses.TEMPLATES]
+    assert licenses.scan(documents(spark, [])).count() == 0 and licenses.scan(documents(spark, ["x", "x"], [None, None])).count() == 2
 
 
 def test_near_duplicates_edges(spark):
