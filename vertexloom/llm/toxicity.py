@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read
+from .tables import Scratch, read
 
 #: Labelled rows of each class that are fitted on, at most about.
 PER_CLASS = 2500
@@ -186,14 +186,19 @@ def isotonic(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
 
 
 def labelled(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str, text_col: str, per_class: int) -> tuple[DataFrame, dict[int, float]]:
-    """(id, text, toxic) of about ``per_class`` rows of each class, and each class's row weight."""
+    """(id, text, toxic) of about ``per_class`` ids of each class, and each class's row weight.
+
+    At most 2.5 times ``per_class`` ids are taken, of one that repeats the least text.
+    """
     truth = labels.where(F.col("toxic").isNotNull() & trainable & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in truth.groupBy("toxic").count().collect()}  # two rows
     share = {k: min(1.0, per_class / n) for k, n in counts.items()}
     part = F.when(F.col("toxic") == 1, F.lit(share.get(1, 0.0))).otherwise(F.lit(share.get(0, 0.0)))
     chosen = truth.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < part * (1 << 20)).limit(int(2.5 * per_class) + 100)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).where(trainable & F.col("text").isNotNull())
-    return rows.join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), "text", "toxic"), {k: 1 / s for k, s in share.items() if s}
+    # one row for an id, so that the bound holds however often ids repeat
+    rows = rows.join(F.broadcast(chosen), id_col).groupBy(F.col(id_col).alias("id"), "toxic").agg(F.min("text").alias("text"))
+    return rows.select("id", "text", "toxic"), {k: 1 / s for k, s in share.items() if s}
 
 
 def learn_lexicon(rows: DataFrame) -> frozenset[str]:
@@ -239,12 +244,18 @@ def fit(rows: DataFrame, weights: dict[int, float]) -> tuple[Model | None, froze
 def score(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
     """One row per row of ``docs``: id, score (0 to 1), predicted (1 from 0.5 on).
 
-    Null texts are scored like empty ones, equal texts alike. A document with several labels is
-    toxic if one says so; null labels are left out. Where a class has no labelled row, every
-    score is 0. Only the named columns and ``toxic`` are read.
+    Null texts are scored like empty ones, equal texts alike; texts of any length are read
+    whole. A document with several labels is toxic if one says so; null labels are left out.
+    Where a class has no labelled row, every score is 0. Repeated rows each get a row; an empty
+    table gives an empty table. Only the named columns and ``toxic`` are read.
     """
+    scratch = Scratch(docs.sparkSession)
     rows, weights = labelled(docs, labels, trainable, id_col, text_col, per_class)
-    model, lexicon = fit(rows, weights) if len(weights) == 2 else (None, frozenset())
+    model, lexicon = None, frozenset()
+    if len(weights) == 2:
+        rows = scratch.save(rows)  # what is learned from is read three times
+        model, lexicon = fit(rows, weights)
+        scratch.drop(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Features(lexicon)
