@@ -54,6 +54,17 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs, one_sided, F.lit(True)).columns == ["doc_id", "score", "predicted"]
 
 
+def test_samples_are_bounded(spark, monkeypatch):
+    """However often ids or languages repeat, no more than the documented bounds is learned from."""
+    docs = documents(spark, [f"text {i} idiot" for i in range(300)], [i % 3 for i in range(300)])
+    labels = spark.createDataFrame([(0, 0, 1), (1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    rows, _ = toxicity.labelled(docs, labels, F.lit(True), "doc_id", "text", 100)
+    assert sorted((r["id"], r["text"]) for r in rows.collect()) == [(0, "text 0 idiot"), (1, "text 1 idiot"), (2, "text 101 idiot")]
+    monkeypatch.setattr(langid, "LANGS", 2)
+    many = docs.withColumn("lang", F.concat(F.lit("l"), (F.monotonically_increasing_id() % 50).cast("string")))
+    assert len(set(langid.sample(many, F.lit(True), "text", "lang", "text")[1])) == 2
+
+
 def test_features():
     f = toxicity.Features(frozenset({"zorg~", "blap"}))
     x = dict(zip(toxicity.NAMES, f.of("You IDIOT! zorgles are 1d1ot blap."), strict=True))

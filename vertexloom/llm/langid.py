@@ -27,6 +27,8 @@ LENGTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 PER_LANG = 400
+#: Languages that are learned at most: a bound for dirty columns.
+LANGS = 300
 WINDOWS = 4
 EPOCHS = 4
 BATCH = 64
@@ -179,9 +181,12 @@ class Scorer:
 
 
 def sample(docs: DataFrame, trainable: Column, text_col: str, lang_col: str, key_col: str, per_lang: int = PER_LANG) -> tuple[list[bytes], list[str]]:
-    """About ``per_lang`` texts of each language, chosen by a hash of the key; windows of each."""
+    """About ``per_lang`` texts of each language, chosen by a hash of the key; windows of each.
+
+    The ``LANGS`` languages with the most rows are learned (ties: the lesser name first).
+    """
     rows = docs.where(trainable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row for each language
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGS).collect()}
     if not counts:
         return [], []
     share = F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in counts]), F.array(*[F.lit(min(1.0, per_lang / n)) for n in counts.values()])), F.col(lang_col))
@@ -198,8 +203,10 @@ def identify(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: id, lang_pred, score.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is every text when
-    there is nothing to learn from. Equal texts get equal predictions. Only the named columns
-    are read; the language only where ``trainable`` holds.
+    there is nothing to learn from. Texts of any length are read whole. Equal texts get equal
+    predictions; of equally likely languages the first by name is taken. Repeated rows each get
+    a row; an empty table gives an empty table. Only the named columns are read, so others may
+    have any name; the language is read only where ``trainable`` holds.
     """
     texts, langs = sample(docs, trainable, text_col, lang_col, id_col)
     net = train(texts, langs) if texts else None
