@@ -32,6 +32,20 @@ def test_url_rules_and_list(spark):
     assert urls.judge_urls(pages, listed.limit(0)).where("in_list").count() == 0
 
 
+def test_url_lists_from_files(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("# blocked\n\nhttp://bad.net/\n  https://one.net/p \n")
+    assert sorted(r["url"] for r in urls.read_list(spark, f"file://{tmp_path}/list.txt").collect()) == ["http://bad.net/", "https://one.net/p"]
+    spark.createDataFrame([(f"http://h{i}.net/",) for i in range(3000)], "url string").write.parquet(f"{tmp_path}/list.parquet")
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.net/x", None) for i in range(0, 6000, 500)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    spark.conf.set(urls.LIST_SETTING, f"file://{tmp_path}/list.parquet")
+    try:
+        got = {r["page_id"]: r["verdict"] for r in urls.op5_url_filters(spark, f"file://{tmp_path}").collect()}
+    finally:
+        spark.conf.unset(urls.LIST_SETTING)
+    assert got == {i: "block" if i < 3000 else "allow" for i in range(0, 6000, 500)}
+
+
 def test_bloom_never_misses(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
     filt, blocks = bloom.build(keys, 5000)

@@ -1,9 +1,9 @@
 """A blocked Bloom filter in plain SQL functions.
 
 A key's hash picks one 64-bit block and four bits in it, so a probe reads a single word. The
-filter is one row with one array of longs, read as a scalar subquery. It never has more than
-``MAX_BLOCKS`` words (1 MB): beyond that it only lets more rows through to the exact join
-which always follows.
+filter is one row with one array of longs, read as a scalar subquery. It grows with its keys, 16
+bits for each, up to ``MAX_BLOCKS`` words (8 MB, four million keys): beyond that it lets more
+rows through to the exact join which always follows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BLOCKS = 1 << 17
+MAX_BLOCKS = 1 << 20
 BITS_PER_KEY = 16
 
 

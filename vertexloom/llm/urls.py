@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .tables import read
+from .tables import Scratch, read
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path prefix); a rule fits its host and all subdomains, the longest one wins.
@@ -22,7 +22,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Blocked URLs; the root URL of a host stands for the whole site and its subdomains.
+#: The setting that names a list of blocked URLs for the query: a text file or folder, or a Parquet table with a column ``url``.
+LIST_SETTING = "vertexloom.url.list"
+#: The list where that is unset. The root URL of a host stands for the whole site and its subdomains.
 LISTED = (
     "http://cheap-pills.example.com/",
     "http://casino-win.example.org/",
@@ -30,8 +32,6 @@ LISTED = (
     "http://adult-x.example.net/",
     "http://ads-track.example.org/",
 )
-#: A list of at most so many entries is broadcast to the exact join; a longer one is shuffled.
-BROADCAST_ENTRIES = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -69,15 +69,25 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return rule, verdict
 
 
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """Listed URLs, one a row: of a Parquet table, or of text lines without blanks and ``#`` comments."""
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path).select("url")
+    lines = spark.read.text(path).select(F.trim("value").alias("url"))
+    return lines.where("url <> '' AND NOT startswith(url, '#')")
+
+
 def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """A verdict for every row of ``pages``: id, host, path, rule, verdict, in_list.
 
     ``listed`` has a column ``url``. Null URLs and URLs without ``://`` have an empty host and
-    path, match nothing and are allowed. Repeated rows each get a row. Other columns of either
-    frame are not read, so their names cannot clash. An empty list blocks nothing.
+    path, match nothing and are allowed. Of two rules of one length that fit, the later by name
+    wins. URLs of any length are read whole; repeated rows each get a row; an empty table gives
+    an empty table. Other columns of either frame are not read, so their names cannot clash. An
+    empty list blocks nothing.
     """
-    spark = pages.sparkSession
-    keys = listed.where(F.contains("url", F.lit("://"))).select(canonical(F.col("url")).alias("key")).distinct()
+    scratch = Scratch(pages.sparkSession)
+    keys = scratch.save(listed.where(F.contains("url", F.lit("://"))).select(canonical(F.col("url")).alias("key")).distinct())
     n = keys.count()
     words, blocks = bloom.build(keys.select(F.xxhash64("key").alias("h")), n)
     url = F.col(url_col)
@@ -90,8 +100,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "
     judged = rows.select("*", rule.alias("rule"), said.alias("said"))
     possible = judged.where("said IS NULL").select("id", "canon", F.explode("keys").alias("key"))
     possible = possible.where(bloom.might_hold(words.scalar(), F.xxhash64("key"), blocks))
-    right = F.broadcast(keys) if n <= BROADCAST_ENTRIES else keys
-    hits = possible.join(right, "key", "left_semi").select(F.col("id").alias("hit_id"), F.col("canon").alias("hit_canon")).distinct()
+    hits = possible.join(scratch.small(keys), "key", "left_semi").select(F.col("id").alias("hit_id"), F.col("canon").alias("hit_canon")).distinct()
+    hits = scratch.small(scratch.save(hits), "shuffle_hash")
     return judged.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("canon") == F.col("hit_canon")), "left").select(
         F.col("id").alias(id_col), "host", "path", "rule",
         F.coalesce("said", F.when(F.col("hit_canon").isNotNull(), "block").otherwise("allow")).alias("verdict"),
@@ -100,7 +110,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(u,) for u in LISTED], "url string")
+    path = spark.conf.get(LIST_SETTING, None)
+    listed = read_list(spark, path) if path else spark.createDataFrame([(u,) for u in LISTED], "url string")
     return judge_urls(read(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
