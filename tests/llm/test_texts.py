@@ -167,6 +167,19 @@ def test_pack_round_trip(spark):
     assert packing.pack_documents(documents(spark, ["a b", "a b"], [None, None])).agg({"length": "sum"}).first()[0] == 6
 
 
+def test_pack_whole_documents(spark):
+    """Uncut documents: near-equal windows within the capacity, more of them than the tokens alone would need."""
+    texts = [" ".join(["word"] * (1 + 37 * i % 900)) for i in range(200)] + [None, "word " * 5000]
+    rows = packing.pack_documents(documents(spark, texts).coalesce(1), whole=True, block=64).collect()
+    pieces, filled = defaultdict(list), defaultdict(int)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        filled[r["sequence_id"]] += r["length"]
+    assert all(len(p) == 1 for d, p in pieces.items() if d != 201) and len(pieces[201]) == 3
+    assert sum(filled.values()) == sum(p[0]["doc_tokens"] for p in pieces.values())
+    assert max(filled.values()) <= 2048 and sum(filled.values()) / 2048 <= len(filled) <= sum(filled.values()) / 2048 * 1.3 + 2
+
+
 def test_shingles_of_a_long_text(monkeypatch):
     texts = ["A b  c\u00a0d", None, "", "one", " ".join(f"w{i % 7}" for i in range(500))]
     want = [set(s.tolist()) for s in sh.shingle_sets(texts, 2)]

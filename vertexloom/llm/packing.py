@@ -4,8 +4,10 @@ A document's tokens end with the separator id 1. Whole windows are cut off its f
 left of it, less than a window, is packed with the remainders of a block of neighbouring
 documents. Differencing starts with one partial partition for each remainder and repeatedly
 joins the two partial partitions of the largest spread, the fullest windows of the one with the
-emptiest of the other, until one near-equal partition is left. Documents may be cut: what exceeds
-the capacity of a window is cut off and dealt again, which raises the number of windows.
+emptiest of the other, until one near-equal partition is left. While a window of it exceeds the
+capacity, the number of windows rises and all is dealt again (``whole``). Where documents may be
+cut, which leaves no padding, only what exceeds a window is cut off and dealt again: that is what
+raises the number of windows then.
 
 A block is a bounded run of one input split's documents, so packing needs no shuffle, its
 memory doesn't grow with the table, and a lost executor's splits are simply packed again.
@@ -239,7 +241,7 @@ def close(pieces: list[Piece], capacity: int) -> list[list[Piece]]:
     return out
 
 
-def _packer(path: str, window: int, block: int):
+def _packer(path: str, window: int, block: int, whole: bool):
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,6 +258,9 @@ def _packer(path: str, window: int, block: int):
                 made += 1
             return out
 
+        def uncut(pieces: list[Piece]) -> list[list[Piece]]:
+            return [[pieces[i] for i in members] for members in pack([len(p.ids) for p in pieces], window)]
+
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -270,30 +275,34 @@ def _packer(path: str, window: int, block: int):
                     if len(rest.ids):
                         left.append(rest)
                     if len(left) >= block:
-                        full, left = fill(left, window)
+                        full, left = (uncut(left), []) if whole else fill(left, window)
                         out += rows(full)
             if out:
                 yield pd.DataFrame(out, columns=columns)
         if left:
-            yield pd.DataFrame(rows(close(left, window)), columns=columns)
+            yield pd.DataFrame(rows(uncut(left) if whole else close(left, window)), columns=columns)
         give_back()
 
     return run
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, block: int = BLOCK,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """One row per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    With ``whole`` only documents longer than a window are cut, in whole windows and a rest, and
+    windows are padded; else documents are cut so that no window but the last few is.
+
     A null text counts as empty: its document is the separator alone. Ids may be null or
-    repeated; each row's tokens lie in pieces of their own. Only the two named columns are
-    read, so other columns may have any name. An empty table gives no pieces. Sequences are
+    repeated; each row's tokens lie in pieces of their own. Texts of any length are read whole;
+    of windows that are equally full the earlier takes the next piece. Only the two named columns
+    are read, so other columns may have any name. An empty table gives no pieces. Sequences are
     numbered within an input split, so another layout of the files numbers them otherwise.
     """
     path = tokenizer_path or str(public_tokenizers.path(TOKENIZER))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("split"))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(_packer(path, window, block), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(_packer(path, window, block, whole), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
