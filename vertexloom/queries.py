@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from .operators.graph import Graph
 from .operators.traversal import opposite
 from .plans.types import Aborted, Direction, EdgeAttributes, EdgeType, Field, GraphSchema, TransactionError
 from .sources.tables import bind_edges, bind_vertices, sales_graph
+from .streaming.ingest import degree_stream, link_stream
 
 OUT, IN, BOTH = Direction.OUTBOUND, Direction.INBOUND, Direction.UNDIRECTED
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -366,6 +369,54 @@ def txn_conflict(g):
     return g.vertices("customer").select("c_custkey", "c_mktsegment")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, for a stream's progress; a local one on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="vertexloom-")
+    return f"{root.rstrip('/')}/vertexloom/{uuid.uuid4().hex}"
+
+
+def _placed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of ``placed`` as they arrive: one row for each order."""
+    table = f"{sf_dir}/orders.parquet"
+    files = spark.readStream.schema(spark.read.parquet(table).schema).format("parquet")
+    # a single file is a folder with that file alone
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    rows = files.load(table) if folder else files.option("pathGlobFilter", "orders.parquet").load(sf_dir)
+    return rows.select(F.lit("customer").alias("a_schema"), F.col("o_custkey").alias("a_key"), F.lit("orders").alias("b_schema"), F.col("o_orderkey").alias("b_key"))
+
+
+def _stream_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of edges linked batch by batch on top of those that are there, then counted."""
+    g = sales_graph(spark, sf_dir)
+    link_stream(g, "placed", _placed_stream(spark, sf_dir), _folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    return _key(g.degrees("customer", "placed", OUT), "degree")
+
+
+def _stream_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running degrees over a stream of edges, as they stand when all has arrived."""
+    g, folder = sales_graph(spark, sf_dir), _folder(spark)
+    running = degree_stream(g, "placed", _placed_stream(spark, sf_dir), OUT)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/counts/{n}")
+
+    # complete mode: a batch holds the degrees of all so far, so the last one is the result
+    stream = running.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    last = max((p["batchId"] for p in stream.recentProgress if p["numInputRows"]), default=None)
+    if last is None:
+        return spark.createDataFrame([], "id long, degree long")
+    return _key(spark.read.parquet(f"{folder}/counts/{last}"), "degree")
+
+
+QUERIES |= {"stream_link": _stream_link, "stream_degrees": _stream_degrees}
+
+
 def _catalog_rows(g: Graph, rows: list[tuple], kind: str) -> DataFrame:
     return g.snapshot.spark.createDataFrame(rows, kind)
 
@@ -521,6 +572,10 @@ ORACLE_SQL |= {
         SELECT * FROM (VALUES ('nation', 'n_nationkey', 'int'), ('nation', 'n_name', 'string'), ('nation', 'n_regionkey', 'int'), ('nothing', 'None', NULL)) t(name, field, type)""",
     "catalog_changes": """
         SELECT * FROM (VALUES ('added', 'place', 17), ('added', 'near', 18), ('deleted', 'performed', 16), ('count', 'groups', 17), ('id_of', 'performed', 0)) t(what, name, id)""",
+    "stream_link": """
+        SELECT c_custkey AS id, 2 * count(o_custkey) AS degree FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
+    "stream_degrees": """
+        SELECT o_custkey AS id, count(*) AS degree FROM orders GROUP BY o_custkey""",
     "deg_one": """
         SELECT k AS id, count(l_orderkey) AS degree FROM (VALUES (7::BIGINT), (8), (999999999)) v(k) LEFT JOIN lineitem ON l_orderkey = k GROUP BY k""",
     "cell_types_one": """
