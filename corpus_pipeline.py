@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of ``documents``.
+
+Null and empty texts fail the quality rules. Rows with a null or repeated id are documents of
+their own, told apart by id and text; rows alike in both are copies, of which one stays. Of equal
+or near-equal texts the least id stays, and of repeated passages the first by id. Texts of any
+length are read whole. Columns besides those of ``documents`` are kept up to packing, whatever
+their names. An empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.llm import decontaminate, neardup, packing, quality, substrings
-from vertexloom.llm.tables import Scratch, read
+from vertexloom.llm.tables import Scratch, free_name, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents stay in the first only; n_chars follows the text."""
-    done = substrings.dedup_repeats(docs)
+    done = substrings.dedup_repeats(docs, removed_col=free_name(docs, "removed"))
     return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 

@@ -327,6 +327,26 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     check_pieces(corpus_pipeline.run(spark, str(tmp_path)).collect(), {d: r["text"] for d, r in left.items()})
 
 
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows, clashing columns; then no rows at all."""
+    rng = np.random.default_rng(31)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4000, n))
+    one, two, three, four, item = prose(90), prose(90), prose(90), prose(90), prose(20)
+    rows = [(one, 1), (one, 1), (two, 1), (three, None), (three, None), (one, 2), (four, None), (None, 3), ("", 4), (f"{prose(60)} {item}", 5), (prose(60), 5)]
+    clean = rows[-1][0]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, some in (("some", rows), ("none", [])):
+        docs = documents(spark, [t for t, _ in some], [i for _, i in some])
+        want = docs.columns
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{i}")
+            assert docs.columns == want
+        texts = sorted(r["text"] for r in docs.collect())
+        assert texts == (sorted([one, two, three, four, clean]) if some else [])
+        assert (corpus_pipeline.pack(spark, docs, str(tmp_path)).count() > 0) == bool(some)
+
+
 def test_import_errors_are_not_swallowed():
     for module in (corpus_pipeline, decontaminate, neardup):
         assert "ImportError" not in open(module.__file__).read()

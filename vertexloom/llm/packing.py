@@ -44,8 +44,8 @@ BLOCK = 512
 SURPLUS = 1.03
 #: Bits of a sequence id for its number within a split.
 SPLIT_BITS = 33
-#: Chunks between white space, and words, whose ids a worker remembers.
-CACHE = 600_000
+#: Chunks between white space, and words, whose ids a worker remembers, and the length of the longest such.
+CACHE, CACHED_LENGTH = 600_000, 64
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -67,10 +67,10 @@ def chunks_of(text: str) -> list[str]:
 
 
 def _forget(known: dict[str, bytes], fresh: dict[str, bytes]) -> None:
-    """Drop what came last once there is too much: what came first is mostly what is frequent."""
-    if len(known) > CACHE:
-        for c in fresh:
-            del known[c]
+    """Drop what is long, and what came last once there is too much: what came first is mostly what is frequent."""
+    full = len(known) > CACHE
+    for c in [c for c in fresh if full or len(c) > CACHED_LENGTH]:
+        del known[c]
 
 
 class ChunkTokenizer:

@@ -122,9 +122,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out
 
 
-def _without(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """``docs`` without the lines and windows that ``lost`` (id, name, lines, found) names, and ``removed``."""
-    docs = docs.drop("removed")
+def _without(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str, least_words: int, removed_col: str) -> DataFrame:
+    """``docs`` without the lines and windows that ``lost`` (id, name, lines, found) names, and ``removed_col``."""
+    docs = docs.drop(removed_col)
     gid, gname, gone = (free_name(docs, x) for x in ("_gone_id", "_gone_name", "_gone"))
     kinds = dict(lost.dtypes)
 
@@ -146,25 +146,25 @@ def _without(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str, least
     both = both.withColumn(gone, shorter(F.when(F.col(gid).isNotNull(), F.col(text_col)), F.col(f"{gone}.lines"), F.col(f"{gone}.found")))
     text = F.when(F.col(gid).isNull(), F.col(text_col)).otherwise(F.col(f"{gone}.text"))
     removed = F.coalesce(F.col(f"{gone}.removed"), F.array().cast(kinds["lines"]))
-    return both.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], removed.alias("removed"))
+    return both.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], removed.alias(removed_col))
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Every row of ``docs`` with column ``removed`` added and repeated passages taken from its text.
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, removed_col: str = "removed") -> DataFrame:
+    """Every row of ``docs`` with column ``removed_col`` added and repeated passages taken from its text.
 
     Rows alike in id and text are one document and lose the same; rows of one id with different
     texts are each their own. Null ids, null texts and texts without words are left as they are,
     with an empty ``removed``. Passages of fewer than ``least_words`` words stay. Texts of any
     length are read whole. A text may become empty; its row stays. An empty table gives an empty
-    table. A column of ``docs`` named ``removed`` is replaced; others may have any name.
+    table. A column of ``docs`` named ``removed_col`` is replaced; others may have any name.
     """
     gone = repeated_passages(docs, id_col, text_col, least_words)
     kind = dict(gone.dtypes)["id"]
     lost = gone.select("id", "name", F.col("removed").alias("lines"), F.lit(None).cast(f"array<struct<at: int, first_id: {kind}>>").alias("found"))
-    return _without(docs, lost, id_col, text_col, least_words)
+    return _without(docs, lost, id_col, text_col, least_words, removed_col)
 
 
-def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, removed_col: str = "removed") -> DataFrame:
     """As ``dedup_passages``, and repeated spans that aren't whole lines go too.
 
     ``removed`` then has an entry for each line of such a span as well, with the words that the
@@ -174,7 +174,7 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = repeated_passages(docs, id_col, text_col, least_words)
     found = repeated_spans(_rows(docs, id_col, text_col), gone.select("id", "name", F.col("removed.pos").alias("gone")), least_words, scratch)
     lost = gone.select("id", "name", F.col("removed").alias("lines")).join(found, ["id", "name"], "full")
-    return _without(docs, scratch.save(lost), id_col, text_col, least_words)
+    return _without(docs, scratch.save(lost), id_col, text_col, least_words, removed_col)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
