@@ -114,53 +114,46 @@ def template_bigrams(notice: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
-def _once(value: Column, use) -> Column:
-    return F.element_at(F.transform(F.array(value), use), 1)
+_NONE = "cast(array() AS array<struct<score: double, rank: int, place: int>>)"
 
 
-def words(text: Column) -> Column:
-    """A-Z lower-cased runs of letters and digits; none for null."""
-    w = F.array_remove(F.split(F.translate(text, UPPER, LOWER), r"[^\p{L}\p{N}]+"), "")
-    return F.coalesce(w, F.array().cast("array<string>"))
+def _once(value: str, name: str, use: str) -> str:
+    """``use`` with ``value`` computed a single time, as the lambda variable ``name``."""
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
 
 
-def _holds(w: Column, places: Column, grams: list[str]) -> Column:
+def _holds(places: str, grams: list[str]) -> str:
     """Those of the places at which one of the bigrams begins, by 64-bit hashes."""
-    known = [F.xxhash64(*map(F.lit, g.split(" "))) for g in grams]
-    return F.filter(places, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)).isin(*known))
-
-
-def matches(text: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """(score, rank, place) of every window that reaches a template; ranks and places fall."""
-    none = F.array().cast("array<struct<score: double, rank: int, place: int>>")
-    grams_of = [template_bigrams(notice) for _, notice in templates]
-
-    def of_template(k: int, w: Column, places: Column) -> Column:
-        grams, size = grams_of[k], len(_words(templates[k][1]))
-        need = max(1, ceil(len(grams) * threshold / (2 - threshold) - 1e-9))
-
-        def windows(mine: Column) -> Column:
-            # a window's first and its need-th bigram of the template, by place, lie within it
-            full = F.filter(mine, lambda _, j: F.coalesce(F.get(mine, j + (need - 1)) - F.get(mine, j) <= size - 2, F.lit(False)))
-            return F.transform(full, lambda i: _once(_grams(w, i, size), lambda a: F.struct(
-                (F.size(F.array_intersect(a, F.array(*[F.lit(g) for g in grams]))).cast("double") * 2 / (F.size(a) + len(grams)).cast("double")).alias("score"),
-                F.lit(-k).alias("rank"), (-i).alias("place"))))
-
-        found = F.filter(_once(_holds(w, places, grams), windows), lambda x: x["score"] >= threshold)
-        return F.when(F.size(places) >= need, found).otherwise(none)
-
-    def of_words(w: Column) -> Column:
-        starts = F.when(F.size(w) >= 2, F.sequence(F.lit(0), F.size(w) - 2)).otherwise(F.array().cast("array<int>"))
-        union = sorted({g for grams in grams_of for g in grams})
-        return _once(_holds(w, starts, union), lambda places: F.when(F.size(places) > 0, F.flatten(F.array(*[of_template(k, w, places) for k in range(len(templates))]))).otherwise(none))
-
-    return _once(words(text), of_words)
-
-
-def _grams(w: Column, start: Column, size: int) -> Column:
-    """The set of bigrams of the ``size`` words from ``start`` on, or as many as there are."""
-    last = F.least(start + (size - 2), F.size(w) - 2)
-    return F.array_distinct(F.transform(F.sequence(start, last), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
+    known = ", ".join("xxhash64('{}', '{}')".format(*g.split(" ")) for g in grams)
+    return f"filter({places}, i -> xxhash64(get(w, i), get(w, i + 1)) IN ({known}))"
+
+
+def _of_template(k: int, notice: str, threshold: float) -> str:
+    """The windows of words ``w`` that reach one template; ``p`` are the places of any template's bigrams."""
+    grams, size = template_bigrams(notice), len(_words(notice))
+    need = max(1, ceil(len(grams) * threshold / (2 - threshold) - 1e-9))
+    known = ", ".join(f"'{g}'" for g in grams)
+    # the set of bigrams of the template's number of words, or as many as there are
+    window = f"array_distinct(transform(sequence(i, least(i + {size - 2}, size(w) - 2)), j -> concat_ws(' ', get(w, j), get(w, j + 1))))"
+    score = f"cast(size(array_intersect(a, array({known}))) AS double) * 2 / cast(size(a) + {len(grams)} AS double)"
+    judged = _once(window, "a", f"named_struct('score', {score}, 'rank', {-k}, 'place', -i)")
+    # a window's first and its need-th bigram of the template, by place, lie within it
+    full = f"filter(m, (x, j) -> coalesce(get(m, j + {need - 1}) - x <= {size - 2}, false))"
+    found = _once(_holds("p", grams), "m", f"transform({full}, i -> {judged})")
+    return f"if(size(p) >= {need}, filter({found}, x -> x.score >= {threshold}D), {_NONE})"
+
+
+def matches(text: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """(score, rank, place) of every window of a column that reaches a template; ranks and places fall.
+
+    It is written as one SQL text: put together call by call, so many bigrams take the driver
+    half a minute.
+    """
+    words = rf"coalesce(array_remove(split(translate(`{text}`, '{UPPER}', '{LOWER}'), r'[^\p{{L}}\p{{N}}]+'), ''), cast(array() AS array<string>))"
+    starts = "if(size(w) >= 2, sequence(0, size(w) - 2), cast(array() AS array<int>))"
+    union = sorted({g for _, notice in templates for g in template_bigrams(notice)})
+    each = ", ".join(_of_template(k, notice, threshold) for k, (_, notice) in enumerate(templates))
+    return F.expr(_once(words, "w", _once(_holds(starts, union), "p", f"if(size(p) > 0, flatten(array({each})), {_NONE})")))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +167,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
     any name.
     """
     names = F.array(*[F.lit(name) for name, _ in templates])
-    found = docs.select(F.col(id_col).alias("id"), matches(F.col(text_col), templates, threshold).alias("m")).select("id", "m", F.array_max("m").alias("best"))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).select("id", matches("t", templates, threshold).alias("m")).select("id", "m", F.array_max("m").alias("best"))
     name = lambda rank: F.get(names, -rank)
     return found.select(
         F.col("id").alias(id_col), name(F.col("best.rank")).alias("license"), F.col("best.score").alias("score"),
