@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents stay in the first only; n_chars follows the text."""
     done = substrings.dedup_repeats(docs, removed_col=free_name(docs, "removed"))
-    return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,6 +142,9 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(((i, t) for i, t in got if not t), key=str) == sorted([(8, None), (9, None), (None, "")], key=str)
     alone = neardup.keep_one_of_each(documents(spark, [base, base, near], [5, None, 6])).collect()
     assert [r["doc_id"] for r in alone] == [5]
+    assert [r["doc_id"] for r in neardup.keep_one_of_each(documents(spark, [base, base, near], [1, 1, 2])).collect()] == [1]
+    named = documents(spark, [base, near, other]).withColumn("doc_id", F.concat(F.lit("x"), F.col("doc_id").cast("string"))).withColumn("a.b", F.lit(1))
+    assert sorted(r["doc_id"] for r in neardup.keep_one_of_each(named).collect()) == ["x0", "x2"]
     assert neardup.keep_one_of_each(documents(spark, [])).count() == 0
     both = neardup.near_duplicates(documents(spark, [base, other, other + " x"], [3, 3, 4]), k=2).collect()
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in both) == [(3, 3, True), (3, 3, True), (4, 3, False)]

@@ -272,9 +272,9 @@ def _name_of(id_col: str, text_col: str, numbers: bool) -> Column:
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that near-duplicate removal keeps.
 
-    Of each component one row stays, that of the least id. Rows whose id is null or repeated are
-    documents of their own, told apart by id and text; of those that are alike in both one stays,
-    and in a component they come after rows with an id of their own. Other rows without words
+    Of each component one row stays, that of the least id. Of rows alike in id and text one
+    stays. Rows without an id, and rows of one id with different texts, are documents of their
+    own, which in a component come after rows with an id of their own. Other rows without words
     all stay. An empty table gives an empty table. Columns may have any name.
     """
     scratch = Scratch(docs.sparkSession)
@@ -289,10 +289,15 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     own = F.col(id_col).cast("long" if numbers else "string")
     marked = marked.withColumn(node, F.when(F.col(odd), _name_of(id_col, text_col, numbers)).otherwise(own))
     if marked.where(odd).limit(1).count():
-        marked = scratch.save(marked.where(~F.col(odd)).unionAll(marked.where(odd).dropDuplicates([node])))
+        alone = scratch.save(marked.where(odd).dropDuplicates([node]))
+        # an id whose rows were all alike is its one row's own again
+        still = scratch.save(_repeated(alone.select(F.col(id_col).alias(repeated)), repeated))
+        named = F.when(F.col(id_col).isNull() | F.col(repeated).isNotNull(), F.col(node)).otherwise(own)
+        alone = alone.join(scratch.small(still), F.col(id_col) == F.col(repeated), "left").withColumn(node, named).drop(repeated)
+        marked = scratch.save(marked.where(~F.col(odd)).unionAll(alone))
     gone = near_duplicates(marked.select(node, F.col(text_col).alias("text")), k, percent, node, "text").where("NOT kept").select(F.col(node).alias(odd))
     gone = scratch.save(gone.distinct())
-    return marked.drop(odd).join(scratch.small(gone), F.col(node) == F.col(odd), "left_anti").select(*docs.columns)
+    return marked.drop(odd).join(scratch.small(gone), F.col(node) == F.col(odd), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
