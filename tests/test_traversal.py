@@ -181,3 +181,26 @@ def test_overlapping_transactions(spark):
         with g.transaction() as first:
             first.link(("p", 2), "e", ("p", 3))
     assert degrees(g, OUT) == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_main_program(spark, tmp_path, capsys):
+    from vertexloom.__main__ import main
+    from vertexloom.sources.store import load, save
+
+    save(graph(spark, [(1, 2)], EdgeType.DIRECTED).snapshot, f"file://{tmp_path}/g")
+    settings = tmp_path / "settings.yaml"
+    settings.write_text(f"storage: file://{tmp_path}/g\nsave: file://{tmp_path}/after\n")
+    assert main([]) == 2
+    assert main([str(settings), '(insert-edge "e" (id "p" 2) (id "p" 3)) (select-vertex "p" 2)']) == 0
+    assert "|2  |y   |" in capsys.readouterr().out
+    assert load(spark, f"file://{tmp_path}/after").edges["e"].count() == 2
+
+
+def test_schemas_of_tables(spark):
+    from pyspark.sql import types as T
+
+    from vertexloom.sources.tables import schema_of_table
+
+    made = schema_of_table("p", spark.createDataFrame([], "k int, name string, _id string, _extra string").schema, "k")
+    assert made.field_names() == ["k", "name"] and made.is_dynamic and made.key_field == "k"
+    assert [f.nullable for f in made.fields] == [False, True] and schema_of_table("p", T.StructType([])) is None

@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import Graph
 from ..plans.snapshot import Snapshot
 from ..plans.types import EXTRA, EdgeAttributes, EdgeType, Field, GraphSchema, Kind
 
 
+def schema_of_table(name: str, schema: T.StructType, key: str | None = None) -> GraphSchema | None:
+    """A stored table's schema as a group's: every column a field; None if there are no columns.
+
+    Names that start with ``_`` are the engine's own: of them ``_extra`` makes the group dynamic
+    and the others are left out.
+    """
+    if not schema.fields:
+        return None
+    fields = tuple(Field(c.name, c.dataType, c.name != key) for c in schema.fields if not c.name.startswith("_"))
+    return GraphSchema(name, key, fields, EXTRA in schema.names)
+
+
 def bind_vertices(snapshot: Snapshot, name: str, df: DataFrame, key: str) -> Snapshot:
     """A table as a vertex group: its columns are the fields, one of them the key."""
-    fields = tuple(Field(c.name, c.dataType, c.name != key) for c in df.schema.fields)
-    catalog, _ = snapshot.catalog.add(GraphSchema(name, key, fields), Kind.VERTEX)
+    catalog, _ = snapshot.catalog.add(schema_of_table(name, df.schema, key), Kind.VERTEX)
     return snapshot.with_catalog(catalog).with_vertices(name, df)
 
 
