@@ -27,11 +27,10 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
+from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
 from .tables import give_back, read
 
@@ -50,12 +49,15 @@ CACHE, CACHED_LENGTH = 600_000, 64
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-#: Characters whose lower case and word split need no look at their neighbours.
-_PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00ff]*").fullmatch
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+#: Chunks whose lower case and word split need no look at their neighbours, one or many between newlines.
+_PLAIN = re.compile(r"[\n\x21-\x7e\u00c0-\u00ff]*").fullmatch
+#: Words of plain lower-case chunks, and the newlines between these.
+_WORDS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|\n|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
 _CHUNKS = re.compile(r"[ \t\n\r]+").split
 #: What ``str.split`` parts words at besides the four characters of ``_CHUNKS``.
 _OTHER_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What a newline between chunks becomes among ids: no token's id.
+_MARK = 0xFFFFFFFF
 
 
 def chunks_of(text: str) -> list[str]:
@@ -68,44 +70,61 @@ def chunks_of(text: str) -> list[str]:
 
 def _forget(known: dict[str, bytes], fresh: dict[str, bytes]) -> None:
     """Drop what is long, and what came last once there is too much: what came first is mostly what is frequent."""
-    full = len(known) > CACHE
-    for c in [c for c in fresh if full or len(c) > CACHED_LENGTH]:
+    for c in fresh if len(known) > CACHE else [c for c in fresh if len(c) > CACHED_LENGTH]:
         del known[c]
 
 
+def _parts(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist(), strict=True)]
+
+
 class ChunkTokenizer:
     """The ids of a text, from those of its chunks between ASCII white space.
 
     This equals encoding the text at once with the word-end tokenizer, which drops white space
     and never joins characters across it: a chunk's ids depend on the chunk only. Plain chunks
-    are split into words here and only unknown words are encoded; other chunks are encoded
-    whole. What is known is kept for a worker's life, up to ``CACHE`` chunks and words.
+    are split into words here, all at once, and only unknown words are encoded, as one text whose
+    ids are parted at the tokens that end words; other chunks are encoded whole. What is known is
+    kept for a worker's life, up to ``CACHE`` chunks and words.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.words = Tokenizer.from_file(path)
         self.words.normalizer = None
-        self.words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.words.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.chunk_ids: dict[str, bytes] = {}
-        self.word_ids: dict[str, bytes] = {}
+        self.word_ids: dict[str, bytes] = {"\n": np.array([_MARK], dtype="<u4").tobytes()}
 
     def _of_words(self, new: list[str]) -> dict[str, bytes]:
         if not new:
             return {}
-        e = self.words.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids, at = np.array(e.ids, dtype="<u4"), np.array(e.word_ids, dtype=np.int64)
-        ends = np.searchsorted(at, np.arange(len(new) + 1))
-        return {w: ids[a:b].tobytes() for w, a, b in zip(new, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+        [e] = self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)
+        ids = np.array(e.ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        return dict(zip(new, _parts(ids, np.append(0, ends[:-1]), ends), strict=True))
 
-    def _of_chunks(self, new: list[str]) -> dict[str, bytes]:
-        split = {c: [c.lower()] if c.isalpha() else _WORDS(c.lower()) for c in new if _PLAIN(c) and "<|" not in c}
-        known = self.word_ids
-        fresh = self._of_words([w for w in {w for ws in split.values() for w in ws} if w not in known])
+    def _of_plain(self, new: list[str]) -> dict[str, bytes]:
+        if not new:
+            return {}
+        words, known = _WORDS("\n".join(new).lower()), self.word_ids
+        fresh = self._of_words(list(set(words).difference(known)))
         known.update(fresh)
-        out = {c: b"".join([known[w] for w in ws]) for c, ws in split.items()}
+        ids = np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4")
         _forget(known, fresh)
-        odd = [c for c in new if c not in out]
+        marks = np.flatnonzero(ids == _MARK)
+        return dict(zip(new, _parts(ids, np.append(0, marks + 1), np.append(marks, len(ids))), strict=True))
+
+    def _of_chunks(self, new: list[str]) -> dict[str, bytes]:
+        together, odd = "\n".join(new), []
+        if "<|" in together or not _PLAIN(together):
+            odd = [c for c in new if "<|" in c or not _PLAIN(c)]
+            new = [c for c in new if "<|" not in c and _PLAIN(c)]
+        out = self._of_plain(new)
         for c, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             out[c] = np.array(e.ids, dtype="<u4").tobytes()
         return out
