@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -89,23 +89,43 @@ def test_tree_against_brute_force(spark):
 
     rows = [(i, f"http://a.net/{i}", f"<div class=abc>same links</div><article><p>story {i}</p><div class=bar>Tell your friends</div></article><div class=box>teaser {i}</div>", "x") for i in range(30)]
     rows += [(100 + i, "http://b.net/", f"<div class=ad>ad {i}</div><article><p>one article</p></article>", "x") for i in range(30)]
+    rows += [(200 + i, f"http://c.net/{i}", f"<body>same words<div class=story><p>story {i}</p>{'<p>next</p>' * (i % 3)}</div></body>", "x") for i in range(30)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, page string")
-    tree = {}
+    tree, shapes = {}, {}
     for _, url, page, _ in rows:
-        found = html.blocks(page)
+        layout = {}
+        found = html.blocks(page, layout)
+        for around, children in layout.items():
+            for child in children:
+                shapes.setdefault((url.split("/")[2], child), {}).setdefault(page, tuple(layout[around]))
         for path, prior, _ in found:
             said = "\n".join(t for p, q, t in found if (p, q) == (path, prior))
             whole = "\n".join(t for _, q, t in found if q == prior)
             tree.setdefault((url.split("/")[2], path, prior), {}).setdefault(said, set()).add(whole)
+
+    def entropy(n):
+        m = sum(n)
+        return round(-sum(x / m * log(x / m) for x in n) / log(m), 9) + 0.0 if m > 1 else 0.5
+
     want = {}
     for key, said in tree.items():
         n = [len(w) for w in said.values()]
-        m = sum(n)
-        want[key] = (m, round(-sum(x / m * log(x / m) for x in n) / log(m), 9) if m > 1 else 0.5)
-    got = {(r["host"], r["path"], r["prior"]): (r["pages"], round(r["content"], 9) + 0.0) for r in html.style_tree(html.branches(pages, "url", "html")).where("content IS NOT NULL").collect()}
-    assert got == want and len(want) == 5
+        # pages count once for each layout; none around the body's own texts
+        around = shapes.get(key[:2])
+        want[key] = (sum(n), entropy(n), around and entropy(list(Counter(around.values()).values())))
+    rounded = lambda x: None if x is None else round(x, 9) + 0.0
+    got = {(r["host"], r["path"], r["prior"]): (r["pages"], rounded(r["content"]), rounded(r["presentation"])) for r in html.style_tree(html.branches(pages, "url", "html")).collect()}
+    assert got == want and len(want) == 7 and {0.0, None} < {p for _, _, p in want.values()}
     texts = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
-    assert texts[3] == "story 3\nteaser 3" and texts[103] == "one article"
+    assert texts[3] == "story 3\nteaser 3" and texts[103] == "one article" and texts[204] == "story 4\nnext"
+
+
+def test_layout_weighs_in_the_importance(spark):
+    """Texts of equal entropy: what stands in a layout that varies is the more important."""
+    rows = [("h", 1, 1, 1000, p, c) for p, c in ((0.0, 0.43), (1.0, 0.43), (None, 0.43), (None, 0.3))]
+    tree = spark.createDataFrame(rows, "host string, path long, prior int, pages long, presentation double, content double")
+    kept = [r["k"] for r in tree.select((html.importance() >= html.LEAST_IMPORTANCE).alias("k")).collect()]
+    assert kept == [False, True, True, False]
 
 
 def test_pages_of_the_test_data(spark):

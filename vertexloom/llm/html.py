@@ -3,8 +3,8 @@
 Every page is parsed into blocks of text that hang on style paths (the tags and classes from the
 body down). All pages of a host that differ are merged by style path: for each path the tree
 keeps how many pages have it, how its children are laid out (presentation) and what its texts
-say (content). The importance of a branch that holds text is the entropy of its texts, that of
-one that only holds other branches the entropy of its layouts, each over the logarithm of the
+say (content). The importance of a branch that holds text is made of the entropy of its texts
+and, a tenth, that of the layouts of the branch around it, each over the logarithm of the
 number of pages that have the path: what is the same on every page has none, what is new on
 every page has all. Branches of low importance are removed from each page.
 
@@ -33,6 +33,8 @@ from .urls import host_of
 PRIOR_PAGES = 8
 #: Branches below this importance are removed.
 LEAST_IMPORTANCE = 0.4
+#: What a branch's texts weigh in its importance; the layout around it weighs the rest.
+CONTENT_WEIGHT = 0.9
 
 _NAME = re.compile(r"[^\s/>]*")
 _QUOTE_OR_END = re.compile(r"[\"'>]")
@@ -284,15 +286,16 @@ BRANCH_ROWS = 20_000
 
 
 def branches(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, page, path, prior, said, value, whole): every page's branches, each once.
+    """(host, page, path, prior, parent, said, value, whole): every page's branches, each once.
 
     Where ``said``, ``value`` names what the branch's texts say, else how its children are laid
-    out. ``page`` is a hash of the html, ``whole`` of all the texts of the branch's prior.
+    out; a branch with both has two rows. ``page`` is a hash of the html, ``whole`` of all the
+    texts of the branch's prior. ``parent`` is the path around one with texts, -1 for the body's.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name = lambda x: xxhash.xxh3_64_intdigest(x) >> 1
-        columns = ["host", "page", "path", "prior", "said", "value", "whole"]
+        columns = ["host", "page", "path", "prior", "parent", "said", "value", "whole"]
         for pdf in batches:
             out = []
             for host, page, text_of in zip(pdf["host"], pdf["page"], pdf["html"], strict=True):
@@ -303,40 +306,42 @@ def branches(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                     texts.setdefault((path, prior), []).append(text)
                     by_prior.setdefault(prior, []).append(text)
                 whole = {prior: name("\n".join(said)) for prior, said in by_prior.items()}
-                held = {path for path, _ in texts}
-                out += [(host, page, path, prior, True, name("\n".join(said)), whole[prior]) for (path, prior), said in texts.items()]
-                out += [(host, page, path, 0, False, name(",".join(map(str, shape))), page) for path, shape in layout.items() if path not in held]
+                parent = {child: path for path, shape in layout.items() for child in shape}
+                out += [(host, page, path, prior, parent.get(path, -1), True, name("\n".join(said)), whole[prior]) for (path, prior), said in texts.items()]
+                out += [(host, page, path, 0, -1, False, name(",".join(map(str, shape))), page) for path, shape in layout.items()]
                 if len(out) >= BRANCH_ROWS:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
             yield pd.DataFrame(out, columns=columns)
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(run, "host string, page long, path long, prior int, said boolean, value long, whole long")
+    return rows.mapInPandas(run, "host string, page long, path long, prior int, parent long, said boolean, value long, whole long")
 
 
 def style_tree(seen: DataFrame) -> DataFrame:
-    """Every host's branches: (host, path, prior, pages, presentation, content), from ``branches``.
+    """Every host's branches with texts: (host, path, prior, pages, presentation, content), from ``branches``.
 
-    ``presentation`` and ``content`` are the entropies of how a branch's children are laid out
-    and of what its texts say, from counts over all of the host's different pages, each in
-    [0, 1]; a branch without texts of its own has no content, one with texts no presentation.
+    ``content`` is the entropy of what the branch's texts say, ``presentation`` that of how the
+    branch around it is laid out, from counts over all of the host's different pages, each in
+    [0, 1]. Texts of the body itself have nothing around them, so no presentation.
     """
     # pages that say the same count once
-    counts = seen.select("host", "path", "prior", "said", "value", "whole").distinct().groupBy("host", "path", "prior", "said", "value").agg(F.count("*").alias("n"))
+    counts = seen.select("host", "path", "prior", "parent", "said", "value", "whole").distinct().groupBy("host", "path", "prior", "parent", "said", "value").agg(F.count("*").alias("n"))
     # entropy / log m = log m - sum(n log n) / m, over log m: sums that combine before the shuffle
-    sums = counts.groupBy("host", "path", "prior", "said").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    sums = counts.groupBy("host", "path", "prior", "parent", "said").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(F.lit(0.5))
-    return sums.select("host", "path", "prior", F.col("m").alias("pages"), F.when(~F.col("said"), entropy).alias("presentation"), F.when(F.col("said"), entropy).alias("content"))
+    texts = sums.where("said").select("host", "path", "prior", "parent", F.col("m").alias("pages"), entropy.alias("content"))
+    layouts = sums.where("NOT said").select("host", F.col("path").alias("parent"), entropy.alias("presentation"))
+    return texts.join(layouts, ["host", "parent"], "left").select("host", "path", "prior", "pages", "presentation", "content")
 
 
 def importance() -> Column:
     """Evidence from the branch's pages against its prior importance.
 
-    A branch that holds text is as important as its texts are diverse; one that only holds
-    other branches, as these are laid out.
+    A branch is as important as its texts are diverse and the layout around it is varied.
     """
-    seen = F.coalesce(F.col("content"), F.col("presentation"))
+    content = F.col("content")
+    seen = F.coalesce(CONTENT_WEIGHT * content + (1 - CONTENT_WEIGHT) * F.col("presentation"), content)
     evidence = (F.col("pages") - 1) / (F.col("pages") - 1 + PRIOR_PAGES)
     return evidence * seen + (1 - evidence) * F.when(F.col("prior") == 1, 1.0).when(F.col("prior") == 3, 0.25).otherwise(0.5)
 
@@ -351,9 +356,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     scratch = Scratch(pages.sparkSession)
     seen = scratch.save(branches(pages, url_col, html_col))
-    # what lies beside a main element goes unless the tree finds it important, all else stays unless it doesn't;
-    # a branch that only holds others has no text of its own: they are judged one by one
-    odd = style_tree(seen).where(F.col("content").isNotNull() & ((importance() >= least) == (F.col("prior") == 3))).select("host", "path", "prior")
+    # what lies beside a main element goes unless the tree finds it important, all else stays unless it doesn't
+    odd = style_tree(seen).where((importance() >= least) == (F.col("prior") == 3)).select("host", "path", "prior")
     odd = scratch.save(odd)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page"))
     if odd.limit(1).count():
