@@ -41,13 +41,16 @@ def _edge_struct(group: GraphSchema, df: DataFrame) -> tuple[Column, list[str]]:
     return F.struct(F.col("a_key").alias(ends[0]), F.col("b_key").alias(ends[1]), *names), [*ends, *names]
 
 
-def incidence(snapshot: Snapshot, group: GraphSchema, direction: Direction) -> tuple[DataFrame, list[str]]:
+def incidence(snapshot: Snapshot, group: GraphSchema, direction: Direction, anchors: DataFrame | Keys | None = None) -> tuple[DataFrame, list[str]]:
     """(v_schema, v_key, o_schema, o_key, a_*, b_*, edge), and the fields of ``edge``.
 
     A direction that doesn't fit the group gives no rows. An undirected edge is incident to
     both of its ends, a self-loop twice; without a body it is read from the vertex asked for.
+    Only of ``anchors`` known by key are the edges not read as dealt out.
     """
     df = snapshot.edges[group.name]
+    if group.name in snapshot.dealt and not isinstance(anchors, Keys):
+        df = snapshot.dealt[group.name]()
     edge, names = _edge_struct(group, df)
     directed = group.edge.edge_type is EdgeType.DIRECTED
     if directed != (direction is not Direction.UNDIRECTED):
@@ -96,7 +99,7 @@ def edges(snapshot: Snapshot, anchors: DataFrame | Keys | None, group, direction
     if found is None:
         compile_filter(where, {"edge": Cell(None, [])})
         return _empty(snapshot)
-    rows, names = incidence(snapshot, found, direction)
+    rows, names = incidence(snapshot, found, direction, anchors)
     keep = compile_filter(where, {"edge": Cell(F.col("edge") if names else None, names)})
     return _join_anchors(rows, anchors).where(keep)
 
@@ -121,7 +124,7 @@ def neighbourhoods(snapshot: Snapshot, anchors: DataFrame | Keys | None, group,
     if found is None:
         compile_filter(where, {"edge": Cell(None, []), "vertex": Cell(None, [])})
         return _empty(snapshot).withColumn("vertex", F.lit(None).cast("string"))
-    rows, names = incidence(snapshot, found, direction)
+    rows, names = incidence(snapshot, found, direction, anchors)
     rows = _join_anchors(rows, anchors)
     a, b = snapshot.ends.get(found.name, (frozenset(), frozenset()))
     ends = {Direction.OUTBOUND: b, Direction.INBOUND: a, Direction.UNDIRECTED: a | b}[direction]
@@ -138,6 +141,20 @@ def neighbourhoods(snapshot: Snapshot, anchors: DataFrame | Keys | None, group,
     return rows.join(right, on).drop("_o_schema", "_o_key").where(keep)
 
 
+def _dealt_ends(snapshot: Snapshot, group: GraphSchema, direction: Direction) -> DataFrame | None:
+    """(v_schema, v_key, o_key) of both ends of an undirected group that is dealt out, which is done once for both.
+
+    None for other groups, and where the keys of the ends differ in type.
+    """
+    if group.name not in snapshot.dealt or direction is not Direction.UNDIRECTED or group.edge.edge_type is EdgeType.DIRECTED:
+        return None
+    kinds = snapshot.edges[group.name].schema
+    if kinds["a_key"].dataType != kinds["b_key"].dataType:
+        return None
+    ends = F.stack(F.lit(2), "a_schema", "a_key", "b_key", "b_schema", "b_key", "a_key")
+    return snapshot.dealt[group.name]().select(ends.alias("v_schema", "v_key", "o_key"))
+
+
 def degree(snapshot: Snapshot, anchors: DataFrame | Keys, group, direction: Direction) -> DataFrame:
     """(v_schema, v_key, degree) of every anchor; 0 for one without edges.
 
@@ -146,7 +163,9 @@ def degree(snapshot: Snapshot, anchors: DataFrame | Keys, group, direction: Dire
     The group must be one of edges.
     """
     found = snapshot.catalog.need(group, Kind.EDGE)
-    rows, _ = incidence(snapshot, found, direction)
+    rows = None if isinstance(anchors, Keys) else _dealt_ends(snapshot, found, direction)
+    if rows is None:
+        rows, _ = incidence(snapshot, found, direction, anchors)
     if isinstance(anchors, Keys):
         rows, anchors = _join_anchors(rows, anchors), anchors.frame(snapshot)
     counts = rows.groupBy(F.col("v_schema").alias("_schema"), F.col("v_key").alias("_key")).agg(F.count("o_key").alias("n"))
@@ -171,7 +190,7 @@ def cell_types(snapshot: Snapshot, anchors: DataFrame | Keys | None, direction:
     for g in snapshot.catalog.groups if groups is None else [snapshot.catalog.need(g, Kind.EDGE) for g in groups]:
         if g.kind is not Kind.EDGE or (g.edge.edge_type is EdgeType.UNDIRECTED) != (direction is Direction.UNDIRECTED):
             continue
-        rows = incidence(snapshot, g, direction)[0].select("v_schema", "v_key")
+        rows = incidence(snapshot, g, direction, anchors)[0].select("v_schema", "v_key")
         rows = _join_anchors(rows, anchors).distinct() if isinstance(anchors, Keys) else _join_anchors(rows.distinct(), anchors)
         rows = rows.select("v_schema", "v_key", F.lit(direction.value).alias("direction"), F.lit(g.name).alias("edge_schema"))
         out = rows if out is None else out.unionAll(rows)

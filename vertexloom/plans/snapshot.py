@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ class Snapshot:
 
     A vertex frame has the key, the declared columns and, for dynamic groups, ``_extra``. An
     edge frame has the four columns ``EDGE_ENDS``, where a is the source and b the destination of a directed
-    edge, then the body. ``ends`` has, by edge group, the vertex groups at a and at b.
+    edge, then the body. ``ends`` has, by edge group, the vertex groups at a and at b. ``dealt`` makes,
+    of some edge groups, the same rows dealt out in pieces, for reads of the whole group.
     """
 
     spark: SparkSession = field(compare=False)
@@ -25,6 +27,7 @@ class Snapshot:
     vertices: dict[str, DataFrame] = field(default_factory=dict)
     edges: dict[str, DataFrame] = field(default_factory=dict)
     ends: dict[str, tuple[frozenset[str], frozenset[str]]] = field(default_factory=dict)
+    dealt: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
 
     def with_catalog(self, catalog: Catalog) -> Snapshot:
         return replace(self, catalog=catalog)
@@ -32,13 +35,14 @@ class Snapshot:
     def with_vertices(self, name: str, df: DataFrame) -> Snapshot:
         return replace(self, vertices={**self.vertices, name: df})
 
-    def with_edges(self, name: str, df: DataFrame, a: frozenset[str] = frozenset(), b: frozenset[str] = frozenset()) -> Snapshot:
+    def with_edges(self, name: str, df: DataFrame, a: frozenset[str] = frozenset(), b: frozenset[str] = frozenset(), dealt: Callable[[], DataFrame] | None = None) -> Snapshot:
         old = self.ends.get(name, (frozenset(), frozenset()))
-        return replace(self, edges={**self.edges, name: df}, ends={**self.ends, name: (old[0] | a, old[1] | b)})
+        pieces = {k: v for k, v in {**self.dealt, name: dealt}.items() if v is not None}
+        return replace(self, edges={**self.edges, name: df}, ends={**self.ends, name: (old[0] | a, old[1] | b)}, dealt=pieces)
 
     def without(self, name: str) -> Snapshot:
         drop = lambda d: {k: v for k, v in d.items() if k != name}
-        return replace(self, vertices=drop(self.vertices), edges=drop(self.edges), ends=drop(self.ends))
+        return replace(self, vertices=drop(self.vertices), edges=drop(self.edges), ends=drop(self.ends), dealt=drop(self.dealt))
 
 
 def body_type(group: GraphSchema) -> T.StructType:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,19 +32,36 @@ def bind_vertices(snapshot: Snapshot, name: str, df: DataFrame, key: str) -> Sna
 
 
 def bind_edges(snapshot: Snapshot, name: str, df: DataFrame, kind: EdgeType, a: tuple[str, str | Column], b: tuple[str, str | Column],
-               body: list[str] | None = None, extra: str | None = None) -> Snapshot:
+               body: list[str] | None = None, extra: str | None = None, dealt: Callable[[], DataFrame] | None = None) -> Snapshot:
     """A table as an edge group: (vertex group, key column) of either end, and the body's columns.
 
     ``extra`` is a column of JSON text with undeclared fields. The groups of the ends are
-    constants of the plan, and keys keep their types, so filters on keys reach the files.
+    constants of the plan, and keys keep their types, so filters on keys reach the files. ``dealt``
+    makes the rows of ``df`` in pieces, for reads of the whole group.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     kept = [c for c in (body or []) if c != extra]
     fields = tuple(Field(c, df.schema[c].dataType, True) for c in kept)
     catalog, _ = snapshot.catalog.add(GraphSchema(name, None, fields, extra is not None), Kind.EDGE, EdgeAttributes(kind, body is not None))
-    rows = df.select(F.lit(a[0]).alias("a_schema"), col(a[1]).alias("a_key"), F.lit(b[0]).alias("b_schema"), col(b[1]).alias("b_key"),
-                     *kept, *([F.col(extra).alias(EXTRA)] if extra else []))
-    return snapshot.with_catalog(catalog).with_edges(name, rows, frozenset((a[0],)), frozenset((b[0],)))
+    cols = [F.lit(a[0]).alias("a_schema"), col(a[1]).alias("a_key"), F.lit(b[0]).alias("b_schema"), col(b[1]).alias("b_key"),
+            *kept, *([F.col(extra).alias(EXTRA)] if extra else [])]
+    pieces = None if dealt is None else lambda: dealt().select(*cols)
+    return snapshot.with_catalog(catalog).with_edges(name, df.select(*cols), frozenset((a[0],)), frozenset((b[0],)), pieces)
+
+
+#: Rows of a piece: of two keys, some 120 MB of hash tables.
+PIECE = 250_000
+
+
+def distinct_in_pieces(df: DataFrame) -> DataFrame:
+    """``distinct``, so that no task keeps more than about a piece of the rows in hash tables.
+
+    ``distinct`` alone keeps in them what a file split and then a shuffled partition hold,
+    and the latter are joined up to 64 MB of compressed rows. Here the number of pieces grows with
+    the rows, which are counted first; of Parquet that reads footers only. Splits aren't made
+    distinct before: rows that hardly repeat only cost memory there.
+    """
+    return df.repartition(max(1, -(-df.count() // PIECE)), *df.columns).distinct()
 
 
 #: Vertex groups of the sales tables and their keys.
@@ -66,7 +85,8 @@ def sales_graph(spark: SparkSession, sf_dir: str) -> Graph:
     s = bind_edges(s, "contains", lines, directed, ("orders", "l_orderkey"), ("part", "l_partkey"), body)
     body = [c for c in lines.columns if c not in ("l_suppkey", "l_partkey")]
     s = bind_edges(s, "traded", lines, undirected, ("supplier", "l_suppkey"), ("part", "l_partkey"), body)
-    s = bind_edges(s, "supplies", lines.select("l_suppkey", "l_partkey").distinct(), undirected, ("supplier", "l_suppkey"), ("part", "l_partkey"))
+    pairs = lines.select("l_suppkey", "l_partkey")
+    s = bind_edges(s, "supplies", pairs.distinct(), undirected, ("supplier", "l_suppkey"), ("part", "l_partkey"), dealt=lambda: distinct_in_pieces(pairs))
     x, y = nations.alias("x"), nations.alias("y")
     near = x.join(y, (F.col("x.n_regionkey") == F.col("y.n_regionkey")) & (F.col("x.n_nationkey") <= F.col("y.n_nationkey")))
     s = bind_edges(s, "neighbour", near.select(F.col("x.n_nationkey").alias("a"), F.col("y.n_nationkey").alias("b")), undirected, ("nation", "a"), ("nation", "b"))
